@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, pii
+from . import licenses, mixing, pii, quality, urls
 
-QUERIES = {f.__name__: f for f in (licenses.op2_scan_licenses, pii.op8_find_pii, mixing.op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (quality.op1_score_quality, licenses.op2_scan_licenses, urls.op4_filter_urls, pii.op8_find_pii, mixing.op10_mix_sources)}
 ORACLES: dict[str, str] = {}
