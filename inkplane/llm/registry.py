@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, licenses, mixing, neighbours, pii, quality, urls, vector_dedup
+from . import jaccard_join, licenses, mixing, neighbours, pii, quality, suffix_dedup, urls, vector_dedup
 
-QUERIES = {f.__name__: f for f in (quality.op1_score_quality, licenses.op2_scan_licenses, vector_dedup.op3_near_vectors, urls.op4_filter_urls, neighbours.op6_nearest_vectors, pii.op8_find_pii, jaccard_join.op9_jaccard_groups, mixing.op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (quality.op1_score_quality, licenses.op2_scan_licenses, vector_dedup.op3_near_vectors, urls.op4_filter_urls, suffix_dedup.op5_remove_repeats, neighbours.op6_nearest_vectors, pii.op8_find_pii, jaccard_join.op9_jaccard_groups, mixing.op10_mix_sources)}
 ORACLES: dict[str, str] = {}
