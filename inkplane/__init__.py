@@ -1,0 +1 @@
+"""Analytics over drawings and their object tables, declared as Spark plans."""
