@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boxes, search, sheets  # noqa: F401
+from . import boxes, levels, search, sheets  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
