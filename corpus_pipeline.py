@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes wh
 one reads it. All but the last return the columns of documents.
 
 1. quality: documents that the classifier scores below its threshold go.
-2. near_duplicates: of each group of linked documents the one of smallest doc_id stays; repeated rows of that
-   id stay once. Documents without words, and those of null doc_id, link with nothing and stay.
+2. near_duplicates: of each group of linked documents the one of smallest doc_id stays, once where rows repeat
+   a doc_id. Documents without words link with nothing and stay, as do rows of null doc_id.
 3. pii: spans of personal data are masked by their kind.
 4. mix: documents are taken as often as the mix takes them, each source up to its exact budget; the last one of
    a source is cut after the budget's word.
@@ -30,9 +30,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.join(docs)
     away = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    again = left.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")))
-    return again.where(F.col("_i").eqNullSafe(1) | F.col("doc_id").isNull()).drop("_i")
+    left = docs.where("doc_id is not null").join(away, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    left = left.withColumn("_first", first).where("_first = 1")
+    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
