@@ -31,11 +31,20 @@ def unit_direction(dx: Column, dy: Column) -> tuple[Column, Column]:
     return F.when(n > 0, dx / n).otherwise(F.lit(0.0)), F.when(n > 0, dy / n).otherwise(F.lit(0.0))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), the value being computed once however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def polygon_area(poly: Column) -> Column:
     """Shoelace area of an array of points; 0 below three points."""
-    turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
-    cross = F.zip_with(poly, turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.when(F.size(poly) < 3, F.lit(0.0)).otherwise(F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2)
+
+    def area(p: Column) -> Column:
+        turned = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+        cross = F.zip_with(p, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.when(F.size(p) < 3, F.lit(0.0)).otherwise(F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2)
+
+    return let(poly, area)
 
 
 def clip_half_plane(poly: Column, axis: str, bound: Column, keep_above: bool) -> Column:
@@ -50,13 +59,13 @@ def clip_half_plane(poly: Column, axis: str, bound: Column, keep_above: bool) ->
         return F.struct(on, at) if axis == "x" else F.struct(at, on)
 
     none = F.array().cast("array<struct<x:double,y:double>>")
-    turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
     edge = lambda p, q: F.when(inside(p) & inside(q), F.array(q)).when(inside(p), F.array(crossing(p, q))).when(inside(q), F.array(crossing(p, q), q)).otherwise(none)
-    return F.when(F.size(poly) < 1, none).otherwise(F.flatten(F.zip_with(poly, turned, edge)))
+    turned = lambda p: F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+    return let(poly, lambda p: F.when(F.size(p) < 1, none).otherwise(F.flatten(F.zip_with(p, turned(p), edge))))
 
 
 def clip(poly: Column, x0, y0, x1, y1) -> Column:
     """Intersection of a polygon with a box, side by side; null where nothing of it is left."""
     for axis, bound, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
         poly = clip_half_plane(poly, axis, bound, above)
-    return F.when(polygon_area(poly) > 0, poly)
+    return let(poly, lambda p: F.when(polygon_area(p) > 0, p))

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALONG = Window.partitionBy("path").orderBy("ord")
+def _along():
+    return Window.partitionBy("path").orderBy("ord")
 
 
 def junction_spots(profile: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def junction_spots(profile: DataFrame) -> DataFrame:
 def junction_free(spotted: DataFrame) -> DataFrame:
     """Thickness with spots bridged by straight lines between the points beside them; ends take the nearest, a path of spots only stays."""
     good = F.when(~F.col("spot"), F.struct("ord", "t"))
-    back = F.last(good, True).over(_ALONG.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first(good, True).over(_ALONG.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = F.last(good, True).over(_along().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.first(good, True).over(_along().rowsBetween(Window.currentRow, Window.unboundedFollowing))
     d = spotted.withColumn("p", back).withColumn("q", ahead)
     line = F.col("p.t") + (F.col("q.t") - F.col("p.t")) * (F.col("ord") - F.col("p.ord")) / (F.col("q.ord") - F.col("p.ord"))
     return d.select("path", "ord", F.when(~F.col("spot"), F.col("t")).otherwise(F.coalesce(line, F.col("p.t"), F.col("q.t"), F.col("t"))).alias("t"))
@@ -56,7 +57,7 @@ def best_cut(profile: DataFrame, ratio: float = 1.3, min_len: int = 3) -> DataFr
     The score weighs the difference of the mean logarithms by both lengths; sides hold min_len median thicknesses at least.
     """
     every = Window.partitionBy("path")
-    before = _ALONG.rowsBetween(Window.unboundedPreceding, -1)
+    before = _along().rowsBetween(Window.unboundedPreceding, -1)
     d = profile.withColumn("l", F.log(F.greatest("t", F.lit(1.0))))
     d = d.withColumn("n", F.count("*").over(every)).withColumn("s", F.sum("l").over(every)).withColumn("i", F.col("ord")).withColumn("si", F.sum("l").over(before))
     side = d.groupBy("path").agg(F.ceil(min_len * F.exp(F.median("l"))).alias("m"))
@@ -133,7 +134,7 @@ def stroke_width(profile: DataFrame) -> DataFrame:
 
 def extents(points: DataFrame) -> DataFrame:
     """Length and extent of paths of points path, ord, y, x."""
-    prev = lambda c: F.lag(c).over(_ALONG)
+    prev = lambda c: F.lag(c).over(_along())
     d = points.withColumn("step", F.hypot(F.col("y") - prev("y"), F.col("x") - prev("x")))
     return d.groupBy("path").agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), (F.max("y") - F.min("y")).alias("eh"), (F.max("x") - F.min("x")).alias("ew"))
 
