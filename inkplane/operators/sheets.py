@@ -1,0 +1,128 @@
+"""Cleaning of whole sheets: one sheet a row through the kernels, narrow tables out.
+
+Detections of text and arrows are inputs: tables, or models that are made once a task. Models have one method:
+a recogniser gives (text, confidence, polygon) for a picture, an arrow model boxes with confidence and a mask.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+import numpy as np
+
+from ..kernels import raster, shapes
+
+
+@dataclass(frozen=True)
+class Cleaning:
+    """Parameters of a run."""
+
+    target: float = 9.0
+    max_scale: float = 2.0
+    conf: float = 0.3
+    margin: float = 3.0
+    small_h: float = 1.0
+    top_share: float = 0.06
+
+
+def wide_box(poly: np.ndarray) -> np.ndarray:
+    """Corners of the rectangle around a text, half its lower side wider on all sides."""
+    r = shapes.min_area_rect(poly)
+    u, v = r[1] - r[0], r[3] - r[0]
+    pad = min(np.hypot(*u), np.hypot(*v)) / 2
+    c = r.mean(0)
+    grow = lambda d: d / 2 + (d / max(np.hypot(*d), 1e-9)) * pad
+    a, b = grow(u), grow(v)
+    return np.array([c - a - b, c + a - b, c + a + b, c - a + b])
+
+
+def clear_text(binary: np.ndarray, polys: list[np.ndarray]) -> np.ndarray:
+    """Ink without text: components more than half in the text polygons, or wholly in one widened text box."""
+    n, lab = raster.label(binary)
+    size = np.bincount(lab.ravel(), minlength=n + 1)
+    covered = np.zeros(binary.shape, bool)
+    for p in polys:
+        covered |= shapes.fill_convex(binary.shape, shapes.hull(p)) > 0
+    text = 2 * np.bincount(lab[covered], minlength=n + 1) > size
+    for p in polys:
+        inside = shapes.fill_convex(binary.shape, wide_box(p)) > 0
+        held = np.bincount(lab[inside], minlength=n + 1)
+        text |= (held == size) & (held > 0)
+    text[0] = False
+    return np.where(text[lab], 0, binary)
+
+
+def segments(ink: np.ndarray, thin_ink: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Columns of the ink's components, from 1: box, area, holes, thin lines touched, and their labels."""
+    n, lab = raster.label(ink)
+    s = raster.stats(lab, n) if n else np.zeros((0, 5), int)
+    k, inner = raster.holes(ink)
+    owner = np.zeros(k + 1, int)
+    if k:
+        y, x = np.nonzero(inner)
+        for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+            near = lab[np.clip(y + dy, 0, lab.shape[0] - 1), np.clip(x + dx, 0, lab.shape[1] - 1)]
+            np.maximum.at(owner, inner[y, x], near)
+    touched = np.zeros(n + 1, int)
+    if thin_ink is not None and n:
+        m, other = raster.label(thin_ink)
+        grown = raster.dilate(ink, 1)
+        _, wide = raster.label(grown)
+        pairs = np.unique(np.column_stack([lab[(other > 0) & (lab > 0)], other[(other > 0) & (lab > 0)]]), axis=0)
+        touched += np.bincount(pairs[:, 0], minlength=n + 1) if len(pairs) else 0
+    return {"labels": lab, "x": s[:, 0], "y": s[:, 1], "w": s[:, 2], "h": s[:, 3], "area": s[:, 4], "holes": np.bincount(owner[1:], minlength=n + 1)[1:], "n_thin": touched[1:]}
+
+
+def views_of(keep: np.ndarray, reach: int) -> list[tuple[int, int, int, int]]:
+    """Boxes of groups of kept components nearer than twice the reach, large to small, then from the top and the left."""
+    n, lab = raster.label(raster.dilate(keep, reach))
+    boxes = []
+    for i in range(1, n + 1):
+        y, x = np.nonzero((lab == i) & (keep > 0))
+        if len(y):
+            boxes.append((int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1))
+    return sorted(boxes, key=lambda b: (-(b[2] - b[0]) * (b[3] - b[1]), b[1], b[0]))
+
+
+def crops(img: np.ndarray, boxes: list[tuple[int, int, int, int]], size: int) -> list[np.ndarray]:
+    """Views on white squares of a size, all on the scale of the longest side."""
+    if not boxes:
+        return []
+    f = size / max(max(b[2] - b[0], b[3] - b[1]) for b in boxes)
+    out = []
+    for x0, y0, x1, y1 in boxes:
+        h, w = max(1, round((y1 - y0) * f)), max(1, round((x1 - x0) * f))
+        square = np.full((size, size, *img.shape[2:]), 255, np.uint8)
+        oy, ox = (size - h) // 2, (size - w) // 2
+        square[oy : oy + h, ox : ox + w] = raster.resize(img[y0:y1, x0:x1], h, w)
+        out.append(square)
+    return out
+
+
+def rotations(crop: np.ndarray) -> list[np.ndarray]:
+    return [np.rot90(crop, k) for k in range(4)]
+
+
+def clean(img: np.ndarray, polys: list[np.ndarray] = (), arrows: np.ndarray | None = None, p: Cleaning = Cleaning()) -> dict:
+    """A sheet's contours: text cleared, thin lines and arrows dropped, small components of no view dropped.
+
+    Lines are told apart by the thickness of their component's ridge: at least that of half the contour's. Result: clean (RGB), mask, boxes, scale.
+    """
+    work, _, binary, scale, t = raster.preprocess(img, p.target, max_scale=p.max_scale, top_share=p.top_share)
+    ink = clear_text(binary, [np.asarray(q, float) * scale for q in polys])
+    dist = raster.distance(ink)
+    core = np.where(dist > max(1.0, (t or p.target) * scale / 4), 255, 0).astype(np.uint8)
+    grown = raster.dilate(core, max(1, math.ceil((t or p.target) * scale / 2)))
+    keep = np.where((grown > 0) & (ink > 0), 255, 0).astype(np.uint8)
+    if arrows is not None:
+        keep[raster.scale_mask(arrows, keep.shape, 1 / scale) > 0] = 0
+    seg = segments(keep)
+    heights = [min(np.ptp(np.asarray(q)[:, 0]), np.ptp(np.asarray(q)[:, 1])) * scale for q in polys]
+    text_h = float(np.median(heights)) if heights else 0.0
+    drop = np.concatenate([[False], (np.maximum(seg["w"], seg["h"]) < p.small_h * text_h) & (seg["holes"] == 0)])
+    keep[drop[seg["labels"]]] = 0
+    mask = raster.scale_mask(keep, img.shape[:2], scale)
+    reach = math.ceil(2 * float(dist[keep > 0].max())) if (keep > 0).any() else 1
+    boxes = [(math.floor(a / scale), math.floor(b / scale), min(img.shape[1], math.ceil(c / scale)), min(img.shape[0], math.ceil(d / scale))) for a, b, c, d in views_of(keep, reach)]
+    return {"clean": np.where(mask[..., None] > 0, img, 255).astype(np.uint8), "mask": mask, "boxes": boxes, "scale": scale, "plot": raster.fade(img, mask)}

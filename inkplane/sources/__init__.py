@@ -1 +1 @@
-
+"""Sources and sinks: pictures, label files, batches."""

@@ -1,0 +1,47 @@
+"""Label files, class lists, embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import labels
+
+
+def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(number, name) of a class list: a name a line, blanks dropped; an empty list is an error."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")).alias("number", "name"))
+    if rows.isEmpty():
+        raise ValueError(f"no class in {path}")
+    return rows
+
+
+def read_labels(spark: SparkSession, folder: str, n_classes: int) -> DataFrame:
+    """(name, no, cls, poly, error) of the label files in a folder, hidden ones left out; no is the line's number from 1."""
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value").where("not startswith(file, '.')")
+    lines = files.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("name"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")).where("trim(line) <> ''")
+    return labels.parse(lines.withColumn("no", F.col("no") + 1), n_classes).drop("line")
+
+
+def strict(parsed: DataFrame) -> DataFrame:
+    """parsed labels, raising at the first broken line with its file and number."""
+    ok = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(":", "name", F.col("no").cast("string"), "error"))).otherwise(F.col("cls"))
+    return parsed.withColumn("cls", ok).drop("error")
+
+
+def with_labels(sheets: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Sheets (name, ...) with their objects as an array; a sheet without a label file is an error of its row."""
+    o = parsed.groupBy("name").agg(F.collect_list(F.struct("cls", "poly")).alias("objects"))
+    return sheets.join(o, "name", "left").withColumn("error", F.when(F.col("objects").isNull(), F.concat(F.lit("no labels: "), "name")))
+
+
+def save_embeddings(views: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Embeddings name, view_no, vec as Parquet; a pair that stands twice is refused."""
+    twice = views.groupBy("name", "view_no").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"view {twice[0]['view_no']} of {twice[0]['name']} stands twice")
+    views.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, view_no int, vec array<float>").parquet(path)
