@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, licenses, mixing, neighbours, pieces, pii, quality, suffix_dedup, urls, vector_dedup
+from . import jaccard_join, licenses, mixing, neighbours, oracles, pieces, pii, quality, suffix_dedup, urls, vector_dedup
 
 QUERIES = {f.__name__: f for f in (quality.op1_score_quality, licenses.op2_scan_licenses, vector_dedup.op3_near_vectors, urls.op4_filter_urls, suffix_dedup.op5_remove_repeats, neighbours.op6_nearest_vectors, pieces.op7_encode_pieces, pii.op8_find_pii, jaccard_join.op9_jaccard_groups, mixing.op10_mix_sources)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_near_vectors": oracles.OP3, "op5_remove_repeats": oracles.OP5, "op9_jaccard_groups": oracles.OP9}
