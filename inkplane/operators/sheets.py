@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..kernels import raster, shapes
+from ..kernels import lines, raster, shapes
 
 
 @dataclass(frozen=True)
@@ -104,25 +104,42 @@ def rotations(crop: np.ndarray) -> list[np.ndarray]:
     return [np.rot90(crop, k) for k in range(4)]
 
 
+def kept_ink(ink: np.ndarray, t_c: float, arrows: np.ndarray | None = None, max_kink_deg: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, thin) ink: strokes of thick paths, their free ends cut back from under arrows, and strokes of the rest."""
+    dist = raster.distance(ink)
+    g = lines.build(ink, dist, max_kink_deg)
+    c = lines.classify(g, ink.shape, t_c)
+    keep = c.thick.copy()
+    if arrows is not None:
+        for k in np.flatnonzero(keep):
+            p = g.paths[k]
+            free = tuple(g.degree.get(tuple(e.tolist()), 2) == 1 for e in (p[0], p[-1]))
+            left = lines.trim(p, arrows[p[:, 0], p[:, 1]] > 0, free, math.ceil(3 * t_c))
+            keep[k] = left is not None and left[1] - left[0] > 1
+            if keep[k]:
+                g.paths[k] = p[left[0] : left[1]]
+    kept = np.where((lines.paint(ink.shape, g, keep) > 0) & (ink > 0), 255, 0).astype(np.uint8)
+    rest = np.where((lines.paint(ink.shape, g, ~c.thick) > 0) & (ink > 0), 255, 0).astype(np.uint8)
+    return kept, rest
+
+
 def clean(img: np.ndarray, polys: list[np.ndarray] = (), arrows: np.ndarray | None = None, p: Cleaning = Cleaning()) -> dict:
     """A sheet's contours: text cleared, thin lines and arrows dropped, small components of no view dropped.
 
-    Lines are told apart by the thickness of their component's ridge: at least that of half the contour's. Result: clean (RGB), mask, boxes, scale.
+    Result: clean (RGB), mask, boxes of the views on the original, scale, plot (what goes is faded), and the views' columns.
     """
     work, _, binary, scale, t = raster.preprocess(img, p.target, max_scale=p.max_scale, top_share=p.top_share)
     ink = clear_text(binary, [np.asarray(q, float) * scale for q in polys])
-    dist = raster.distance(ink)
-    core = np.where(dist > max(1.0, (t or p.target) * scale / 4), 255, 0).astype(np.uint8)
-    grown = raster.dilate(core, max(1, math.ceil((t or p.target) * scale / 2)))
-    keep = np.where((grown > 0) & (ink > 0), 255, 0).astype(np.uint8)
-    if arrows is not None:
-        keep[raster.scale_mask(arrows, keep.shape, 1 / scale) > 0] = 0
-    seg = segments(keep)
+    if not (ink > 0).any():
+        raise ValueError("nothing but text")
+    keep, thin = kept_ink(ink, (t or p.target) * scale, None if arrows is None else raster.scale_mask(arrows, ink.shape, 1 / scale))
+    seg = segments(keep, thin)
     heights = [min(np.ptp(np.asarray(q)[:, 0]), np.ptp(np.asarray(q)[:, 1])) * scale for q in polys]
     text_h = float(np.median(heights)) if heights else 0.0
     drop = np.concatenate([[False], (np.maximum(seg["w"], seg["h"]) < p.small_h * text_h) & (seg["holes"] == 0)])
     keep[drop[seg["labels"]]] = 0
     mask = raster.scale_mask(keep, img.shape[:2], scale)
+    dist = raster.distance(ink)
     reach = math.ceil(2 * float(dist[keep > 0].max())) if (keep > 0).any() else 1
     boxes = [(math.floor(a / scale), math.floor(b / scale), min(img.shape[1], math.ceil(c / scale)), min(img.shape[0], math.ceil(d / scale))) for a, b, c, d in views_of(keep, reach)]
     return {"clean": np.where(mask[..., None] > 0, img, 255).astype(np.uint8), "mask": mask, "boxes": boxes, "scale": scale, "plot": raster.fade(img, mask)}

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra import numpy as hn
 
-from inkplane.kernels import raster, shapes
+from inkplane.kernels import lines, raster, shapes
 from inkplane.operators import sheets
 from inkplane.sources import images
 
@@ -139,8 +139,8 @@ def _sheet(t=6, thin=1):
     img = np.full((300, 400, 3), 255, np.uint8)
     for x0, y0, x1, y1 in ((50, 50, 350, 50 + t), (50, 250 - t, 350, 250), (50, 50, 50 + t, 250), (350 - t, 50, 350, 250)):
         img[y0:y1, x0:x1] = 0
-    img[20 : 20 + thin, 10:390] = 0
-    img[150 : 150 + thin, 5:395] = 0
+    img[20 : 20 + thin, 60:200] = 0
+    img[150 : 150 + thin, 100:300] = 0
     return img
 
 
@@ -169,7 +169,7 @@ def test_gray_takes_the_darkest_channel():
 def test_clean_keeps_the_contour_and_drops_thin_lines():
     img = _sheet(8, 1)
     out = sheets.clean(img)
-    assert out["mask"][54, 100] and not out["mask"][20, 20] and not out["mask"][150, 20]
+    assert out["mask"][54, 100] and not out["mask"][20, 100] and not out["mask"][150, 200]
     assert ((out["mask"] > 0) <= (img.min(2) < 255)).mean() > 0.98
     assert len(out["boxes"]) == 1 and all(abs(a - b) <= 5 for a, b in zip(out["boxes"][0], (50, 50, 350, 250), strict=True))
     crop = sheets.crops(out["clean"], out["boxes"], 64)[0]
@@ -203,3 +203,81 @@ def test_resize_and_scale_mask():
     m = raster.scale_mask(img, (20, 20), 0.4)
     assert m.shape == (20, 20) and m[-1, -1] == img[7, 7]
     assert raster.blob(np.zeros((5, 6, 3), np.uint8), 8).shape == (1, 3, 8, 8)
+
+
+def _graph(mask, **how):
+    return lines.build(mask, raster.distance(mask), **how)
+
+
+def test_a_bar_is_one_path_and_a_cross_is_two():
+    m = np.zeros((120, 160), np.uint8)
+    m[60:66, 10:150] = 255
+    g = _graph(m)
+    assert len(g.paths) == 1 and 120 < g.length(0) < 150 and np.median(g.thickness(0)) == pytest.approx(6, abs=1)
+    m[10:110, 80:86] = 255
+    assert len(_graph(m).paths) == 2
+
+
+def test_a_ring_closes():
+    yy, xx = np.mgrid[:100, :100]
+    r = np.hypot(yy - 50, xx - 50)
+    g = _graph(np.where(np.abs(r - 30) <= 3, 255, 0).astype(np.uint8))
+    assert len(g.paths) == 1 and (g.paths[0][0] == g.paths[0][-1]).all() and g.length(0) == pytest.approx(2 * np.pi * 30, rel=0.15)
+
+
+@pytest.mark.parametrize(("gap", "merged"), [(6, True), (40, False)])
+def test_near_junctions_merge_and_far_ones_do_not(gap, merged):
+    m = np.zeros((300, 400), np.uint8)
+    m[147:153, 20:380] = 255
+    m[40:150, 200:202] = 255
+    m[150:260, 200 + gap : 202 + gap] = 255
+    skeleton = lines.prune(raster.thin(m), raster.distance(m))
+    parts, degree = lines.branches(skeleton)
+    before = {e for e, d in degree.items() if d >= 3}
+    parts, degree = lines._merge_close(parts, degree, raster.distance(m))
+    nodes = {tuple(e.tolist()) for b in parts for e in (b[0], b[-1]) if degree.get(tuple(e.tolist()), 0) >= 3}
+    assert len(before) >= 2 and (len(nodes) == 1) == merged
+
+
+def test_a_path_is_cut_where_its_thickness_changes():
+    m = np.zeros((80, 300), np.uint8)
+    m[38:42, 10:150] = 255
+    m[34:46, 150:290] = 255
+    g = _graph(m)
+    levels = sorted(np.median(g.thickness(k)) for k in range(len(g.paths)))
+    assert len(g.paths) >= 2 and levels[0] < 6 < 9 < levels[-1]
+
+
+def test_classes_part_contour_from_thin_lines_and_masses_add_up():
+    m = np.zeros((600, 800), np.uint8)
+    m[100:106, 100:700] = m[500:506, 100:700] = 255
+    m[100:506, 100:106] = m[100:506, 694:700] = 255
+    for y in (200, 260, 320, 380):
+        m[y : y + 2, 150:650] = 255
+    g = _graph(m)
+    c = lines.classify(g, m.shape, 6.0)
+    assert c.threshold is not None and len(c.peaks) == 2
+    assert ((c.density[1:] + c.density[:-1]) / 2 * np.diff(c.grid)).sum() == pytest.approx(1)
+    painted = lines.paint(m.shape, g, c.thick)
+    assert painted[102, 400] and painted[300, 102] and not painted[200:202, 300].any()
+    assert lines.classify(g, m.shape, None).thick.all()
+
+
+def test_trim_cuts_free_ends_only():
+    p = np.column_stack([np.zeros(50, int), np.arange(50)])
+    on = np.zeros(50, bool)
+    on[:8] = on[40:] = True
+    assert lines.trim(p, on, (True, True), 3) == (8, 40) and lines.trim(p, on, (False, True), 3) == (0, 40)
+    assert lines.trim(p, np.ones(50, bool), (True, True), 3) is None
+    on[20:49] = True
+    on[30:32] = False
+    assert lines.trim(p, on, (True, True), 3) == (8, 20)
+
+
+def test_arrows_shorten_what_they_cover():
+    img = _sheet(8, 1)
+    img[54:62, 360:395] = 0
+    arrows = np.zeros(img.shape[:2], np.uint8)
+    arrows[40:75, 350:400] = 255
+    out = sheets.clean(img, arrows=arrows)
+    assert out["mask"][54, 100] and out["mask"][100, 54]
