@@ -21,11 +21,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from . import common
 MARK = "▁"
 LONG = 40
 #: Bytes of text in a chunk, and in a bucket of units on average.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 
 
 def default_model() -> str:
@@ -60,11 +60,13 @@ class Vocabulary:
         self.size = len(m.pieces)
         self.longest = max(map(len, self.pieces))
         self.texts = ["" if p.type != proto.ModelProto.SentencePiece.BYTE and p.type != proto.ModelProto.SentencePiece.NORMAL else p.piece for p in m.pieces]
+        self.signs: set[str] = {c for p in self.pieces if len(p) > 1 for c in p if c.isspace()}
         self.pattern = self._pattern()
+        self._classes: np.ndarray | None = None
 
     def _pattern(self) -> str:
         """Units: letters or other signs with the marks before them, marks alone, single digits and line ends; as fine as the pieces allow."""
-        signs: set[str] = {c for p in self.pieces if len(p) > 1 for c in p if c.isspace()}
+        signs = self.signs
         while True:
             own = "".join(re.escape(c) for c in sorted(signs))
             pattern = rf"{MARK}*[^\W\d_{own}{MARK}]+|{MARK}*(?:[^\w\s{MARK}]|[_{own}])+|{MARK}+|[\d\s]"
@@ -77,6 +79,19 @@ class Vocabulary:
                 return rf"{MARK}*[^{MARK}]+|{MARK}+"
             signs |= more
 
+    def classes(self) -> np.ndarray:
+        """For each code point how units are cut: 0 marks, 1 and 2 kinds that make runs, 3 alone. Says the same as the pattern."""
+        if self._classes is None:
+            table = np.full(0x110000, 1, np.uint8)
+            if self.pattern.startswith(rf"{MARK}*[^\W"):
+                letter, alone = re.compile(self.pattern.split("|")[0].removeprefix(f"{MARK}*").removesuffix("+")), re.compile(r"[\d\s]")
+                for c in range(0x110000):
+                    ch = chr(c)
+                    table[c] = 1 if letter.match(ch) else 3 if alone.match(ch) and ch not in self.signs else 2
+            table[ord(MARK)] = 0
+            self._classes = table
+        return self._classes
+
     def ids_of(self, unit: str) -> list[int]:
         """Pieces of a unit by merges, with a heap."""
         n = len(unit)
@@ -115,89 +130,198 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def cut_units(texts: list[str | None], classes: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The marked texts as one string, the starts of all units in it and its end, the number of each text's units, and of each unit a 64-bit hash."""
+    parts = [marked(t) for t in texts]
+    whole = "".join(parts)
+    cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    if not len(cp):
+        return whole, np.zeros(1, np.int64), np.zeros(len(texts), np.int64), np.zeros(0, np.uint64), off
+    k = classes[cp]
+    start = np.ones(len(cp), bool)
+    prev, now = k[:-1], k[1:]
+    start[1:] = (now == 3) | ((now == 0) & (prev != 0)) | ((now > 0) & (now != prev) & (prev != 0))
+    start[off[off < len(cp)]] = True
+    at = np.concatenate([np.flatnonzero(start), [len(cp)]])
+    h = np.zeros(len(cp) + 1, np.uint64)
+    np.cumsum(common.mix(cp.astype(np.uint64) + _ODD) * common.powers(len(cp)), out=h[1:])
+    return whole, at, np.diff(np.searchsorted(at[:-1], off)), common.span_hash(h, at[:-1], at[1:]), off
+
+
 def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def _fold_merges(longest: int) -> str:
-    """SQL of the boundaries that are left when no pair merges; `ranks` is a map from place * 64 + length."""
-    assert longest < 64
-    pair = "struct(try_element_at(ranks, x * 64 + get(b, k + 2) - x) AS r, k AS k)"
-    best = f"array_min(filter(transform(slice(b, 1, size(b) - 2), (x, k) -> {pair}), z -> z.r IS NOT NULL))"
-    step = f"CASE WHEN size(b) < 3 THEN b ELSE get(transform(array({best}), z -> CASE WHEN z IS NULL THEN b ELSE filter(b, (x, j) -> j <> z.k + 1) END), 0) END"
-    return f"aggregate(sequence(1, length(unit)), sequence(1, length(unit) + 1), (b, t) -> {step})"
+_FITS = "({m} & {e}.ends) = {e}.ends AND bit_count({m} & {e}.inner) = 1"
+#: Bit of the mask that a walk sets where merges came out of order.
+_ASTRAY = "shiftleft(1L, 62)"
+
 
+def _fold_merges() -> str:
+    """SQL of the mask of boundaries that are left when no pair merges; `pairs` are the edges of several characters, least rank first.
 
-def _fold_viterbi(unknown: float) -> str:
-    """SQL of the boundaries of the path with the largest sum of scores; a character of no piece costs `unknown`."""
-    ways = f"""concat(transform(filter(edges, e -> e.i + e.n = j + 1), e -> struct(get(s, e.i - 1).score + e.score AS score, -e.n AS n)),
-                      array(struct(get(s, j - 1).score + {unknown}D AS score, -1 AS n)))"""
+    A bit stands for a boundary, so two neighbours make an edge if both its ends are there and one boundary between.
+    One walk along the pairs does all merges in their order, unless a merge makes a pair of lesser rank possible;
+    only an `odd` piece can be such a pair, and where one is, the walk is left and the least pair is looked for before each merge.
+    """
+    earlier = f"exists(odds, o -> (o.rank < e.rank OR (o.rank = e.rank AND o.i < e.i)) AND {_FITS.format(m='(m & ~e.inner)', e='o')})"
+    walk = f"aggregate(pairs, {_WHOLE}, (m, e) -> CASE WHEN {_FITS.format(m='m', e='e')} THEN (m & ~e.inner) | CASE WHEN {earlier} THEN {_ASTRAY} ELSE 0L END ELSE m END)"
+    least = f"get(filter(pairs, e -> {_FITS.format(m='m', e='e')}), 0).inner"
+    slow = f"aggregate(sequence(1, length(unit)), {_WHOLE}, (m, t) -> m & ~coalesce({least}, 0L))"
+    return f"get(transform(array({walk}), w -> CASE WHEN w < {_ASTRAY} THEN w ELSE {slow} END), 0)"
+
+
+_WHOLE = "(shiftleft(1L, length(unit) + 1) - 1L)"
+
+
+def _fold_viterbi(v: Vocabulary) -> str:
+    """SQL of the mask of boundaries of the path with the largest sum of scores; a character of no piece costs more than any piece."""
+    scores = [None] * (_most(v) + 2)
+    for p, (_, _, s) in v.pieces.items():
+        if len(p) == 1:
+            scores[ord(p)] = s
+    unknown = min((p[2] for p in v.pieces.values()), default=0.0) - 10.0
+    one = f"cast(get(split('{','.join(str(unknown if s is None else s) for s in scores)}', ','), least(ascii(substring(unit, j, 1)), {_most(v) + 1})) AS double)"
+    ways = f"concat(transform(filter(edges, e -> e.i + e.n = j), e -> struct(get(s, e.i).score + e.score AS score, -e.n AS n)), array(struct(get(s, j - 1).score + {one} AS score, -1 AS n)))"
     table = f"aggregate(sequence(1, length(unit)), array(struct(0D AS score, 0 AS n)), (s, j) -> concat(s, array(array_max({ways}))))"
-    back = "aggregate(sequence(1, length(unit)), array(length(unit) + 1), (b, t) -> CASE WHEN get(b, 0) <= 1 THEN b ELSE concat(array(get(b, 0) + get(s, get(b, 0) - 1).n), b) END)"
+    back = "aggregate(sequence(1, length(unit)), struct(shiftleft(1L, length(unit)) AS m, length(unit) AS at), (b, t) -> CASE WHEN b.at = 0 THEN b ELSE struct(b.m | shiftleft(1L, b.at + get(s, b.at).n) AS m, b.at + get(s, b.at).n AS at) END).m"
     return f"get(transform(array({table}), s -> {back}), 0)"
 
 
+def odd(piece: str, pieces: dict[str, tuple]) -> bool:
+    """Whether a piece merges before another one that it starts or ends with."""
+    parts = [piece[:n] for n in range(2, len(piece))] + [piece[-n:] for n in range(2, len(piece))]
+    return any(p in pieces and pieces[p][1] >= pieces[piece][1] for p in parts)
+
+
 def lattice(units: DataFrame, v: Vocabulary, by: tuple[str, ...] = ()) -> DataFrame:
     """(unit, ids) of distinct units (with the columns `by` that partition them)."""
     spark = units.sparkSession
-    table = spark.createDataFrame(pa.table({"piece": list(v.pieces), "id": pa.array([p[0] for p in v.pieces.values()], pa.int32()), "rank": pa.array([p[1] for p in v.pieces.values()], pa.int32()), "score": [p[2] for p in v.pieces.values()]}))
-    keys = [*by, "unit"]
-    cut = units.select(*keys, F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("i"))
-    cut = cut.select(*keys, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("unit") - F.col("i") + 1))).alias("n"))
-    cut = cut.withColumn("piece", F.substring(F.col("unit"), F.col("i"), F.col("n")))
-    met = cut.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR (i = 1 AND n = 1)")  # the first keeps a unit of no piece
-    edges = met.groupBy(*keys).agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("i", "n", "id", "rank", "score"))).alias("edges"))
-    place = "transform(edges, e -> e.i * 64 + e.n)"
-    mapped = edges.select(*keys, "edges", F.expr(f"map_from_arrays({place}, transform(edges, e -> e.rank))").alias("ranks"), F.expr(f"map_from_arrays({place}, transform(edges, e -> e.id))").alias("ids"))
-    fold = _fold_merges(v.longest) if v.bpe else _fold_viterbi(min((p[2] for p in v.pieces.values()), default=0.0) - 10.0)
-    folded = mapped.select(*keys, "ids", F.expr(fold).alias("b"))
+    table = spark.createDataFrame(pa.table({"piece": list(v.pieces), "id": pa.array([p[0] for p in v.pieces.values()], pa.int32()), "rank": pa.array([p[1] for p in v.pieces.values()], pa.int32()), "score": [p[2] for p in v.pieces.values()], "odd": [odd(p, v.pieces) for p in v.pieces]}))
+    keys = ["unit", *by]
+    cut = units.select(*keys, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
+    cut = cut.select(*keys, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("unit") - F.col("i")))).alias("n"))
+    cut = cut.withColumn("piece", F.substring(F.col("unit"), F.col("i") + 1, F.col("n")))
+    met = cut.where("n > 1 OR i = 0").join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR n = 1")  # n = 1: every unit stays
+    ends, inner = F.expr("shiftleft(1L, i) | shiftleft(1L, i + n)"), F.expr("shiftleft(shiftleft(1L, n - 1) - 1L, i + 1)")
+    edge = F.struct("rank", "i", inner.alias("inner"), ends.alias("ends"), "id", *(["odd"] if v.bpe else ["n", "score"]))
+    edges = met.groupBy(*keys).agg(F.collect_list(F.when(F.col("n") > 1, edge)).alias("edges"))
+    if v.bpe:
+        edges = edges.withColumn("pairs", F.array_sort("edges")).withColumn("odds", F.filter("pairs", lambda e: e["odd"]))
+    fold = _fold_merges() if v.bpe else _fold_viterbi(v)
+    folded = edges.select(*keys, "edges", F.expr(fold).alias("m"))
+    long = "transform(filter(edges, e -> (m & e.ends) = e.ends AND (m & e.inner) = 0L), e -> struct(e.i AS i, e.id AS id))"
+    alone = F.transform(F.expr("filter(sequence(0, length(unit) - 1), i -> shiftright(m, i) & 3L = 3L)"), lambda i: F.struct(i.alias("i"), F.get(_chars(v), F.least(F.ascii(F.call_function("substring", F.col("unit"), i + 1, F.lit(1))), F.lit(_most(v) + 1))).alias("id")))
+    left = folded.select(*keys, F.array_sort(F.concat(F.expr(long), alone)).alias("left"))
     bytes_ = f"transform(sequence(1, octet_length(c)), j -> {v.byte0 or 0} + cast(conv(substring(hex(encode(c, 'UTF-8')), 2 * j - 1, 2), 16, 10) AS int))"
-    fallback = f"flatten(transform(array(substring(unit, x, get(b, k + 1) - x)), c -> {bytes_}))"
-    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, k) -> CASE WHEN map_contains_key(ids, x * 64 + get(b, k + 1) - x) THEN array(try_element_at(ids, x * 64 + get(b, k + 1) - x)) ELSE {fallback} END))"
-    return folded.select(*keys, F.expr(ids).alias("ids"))
+    fallback = f"flatten(transform(array(substring(unit, e.i + 1, 1)), c -> {bytes_}))"
+    ids = f"CASE WHEN exists(left, e -> e.id < 0) THEN flatten(transform(left, e -> CASE WHEN e.id >= 0 THEN array(e.id) ELSE {fallback} END)) ELSE transform(left, e -> e.id) END"
+    return left.select(*keys, F.expr(ids).alias("ids"))
+
+
+def _most(v: Vocabulary) -> int:
+    return max((ord(p) for p in v.pieces if len(p) == 1), default=0)
+
+
+def _table(values) -> Column:
+    """Numbers as one constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",")
+
+
+def _chars(v: Vocabulary) -> Column:
+    """Ids of the pieces of one character by code point, -1 where there is none."""
+    ids = np.full(_most(v) + 2, -1)
+    for p, (i, _, _) in v.pieces.items():
+        if len(p) == 1:
+            ids[ord(p)] = i
+    return _table(ids.tolist()).cast("array<int>")
 
 
 def decode(ids: Column, v: Vocabulary) -> Column:
-    """Text of an array of ids: bytes of the pieces joined, marks as spaces, the first one dropped; null for null."""
-    hexes = [bytes([i - v.byte0]).hex() if v.byte0 is not None and v.byte0 <= i < v.byte0 + 256 else t.encode().hex() for i, t in enumerate(v.texts)]
-    table = F.split(F.lit(",".join(hexes)), ",")
-    joined = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
-    spaced = F.translate(joined, MARK, " ")
-    return F.when(spaced.startswith(" "), F.substring(spaced, F.lit(2), F.length(spaced))).otherwise(spaced)
+    """Text of an array of ids: pieces joined, marks as spaces, the first one dropped; null for null. Bytes beyond ASCII are joined as bytes."""
+    is_byte = lambda i: v.byte0 is not None and v.byte0 <= i < v.byte0 + 256
+    plain = [(chr(i - v.byte0) if i - v.byte0 < 128 else "") if is_byte(i) else t.replace(MARK, " ") for i, t in enumerate(v.texts)]
+    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in t for t in plain))
+    texts = F.split(F.lit(mark.join(plain)), mark, -1)
+    hexes = F.split(F.lit(",".join(bytes([i - v.byte0]).hex() if is_byte(i) else t.encode().hex() for i, t in enumerate(plain))), ",", -1)
+    whole = F.array_join(F.transform(ids, lambda i: F.get(texts, i)), "")
+    by_byte = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "UTF-8")
+    spaced = whole if v.byte0 is None else F.when(F.exists(ids, lambda i: (i >= v.byte0 + 128) & (i < v.byte0 + 256)), by_byte).otherwise(whole)
+    return F.regexp_replace(spaced, "^ ", "")
+
+
+def _numbers(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as hold the largest, compressed, behind their width and the size of it all."""
+    width = 1 if not len(x) or x.max() < 256 else 2 if x.max() < 65536 else 4
+    raw = squeeze(x.astype(f"<u{width}").tobytes())
+    return bytes([width]) + len(raw).to_bytes(4, "little") + raw
+
+
+def _read_numbers(data: bytes) -> tuple[np.ndarray, bytes]:
+    """What _numbers wrote, and what follows it."""
+    end = 5 + int.from_bytes(data[1:5], "little")
+    return np.frombuffer(zstandard.decompress(data[5:end]), f"<u{data[0]}"), data[end:]
+
+
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 6)
 
 
 _LISTS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("packed", pa.binary())])
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids of every row."""
+def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and ids of every row, with the columns `keep` of docs."""
     spark = docs.sparkSession
     v = vocabulary(path or default_model())
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = common.partitions(spark)
     chunks, buckets = max(parts, -(-total // CHUNK_BYTES)), max(parts, -(-total // BUCKET_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    dealt = d.select("doc_id", "text", chunk).repartition(max(parts, chunks // 4), "chunk")
-    pattern = v.pattern
+    dealt = common.packed(d.select("*", chunk), "chunk").repartition(max(parts, chunks // 4), "chunk")
     sent = spark.sparkContext.broadcast(v)
 
-    def units_of(t: pa.Table) -> dict[int, list[str]]:
-        find, seen = re.compile(pattern).findall, set()
-        for text in t["text"]:
-            seen.update(find(marked(text.as_py())))
-        by: dict[int, list[str]] = {}
-        for u in sorted(seen):
-            by.setdefault(zlib.crc32(u.encode()) % buckets, []).append(u)
-        return by
-
-    def hold(t: pa.Table) -> pa.Table:
-        c = t["chunk"][0].as_py() if t.num_rows else 0
-        rows = [(b, c, zlib.compress(json.dumps(us, ensure_ascii=False).encode(), 1)) for b, us in units_of(t).items()]
+    def units_of(t: pa.Table, wanted: bool):
+        """Of a chunk: the distinct units (if wanted), the bucket of each in ascending order, for each unit of its texts its number, and how many each text has."""
+        hashes, counts, wholes = [], [], []
+        for b in common.slices(iter(t.select(["text"]).combine_chunks().to_batches())):
+            whole, at, n, h, _ = cut_units(b.column("text").to_pylist(), sent.value.classes())
+            hashes.append(h)
+            counts.append(n)
+            if wanted:
+                wholes.append((whole, at))
+        sizes = np.cumsum([0, *map(len, hashes)])
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        del hashes
+        coded = pa.array(every).dictionary_encode()
+        number, known = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        del every, coded
+        bucket = (known % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((known, bucket))
+        texts = []
+        if wanted:
+            first = np.empty(len(known), np.int64)
+            first[number[::-1]] = np.arange(len(number), dtype=np.int64)[::-1]
+            part = np.searchsorted(sizes[1:], first, "right")
+            texts = [wholes[p][0][wholes[p][1][i] : wholes[p][1][i + 1]] for p, i in zip(part[order].tolist(), (first - sizes[part])[order].tolist(), strict=True)]
+        place = np.empty(len(known), np.int32)
+        place[order] = np.arange(len(known))
+        return texts, bucket[order], place[number], np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def hold(blocks: pa.Table) -> pa.Table:
+        t = common.unpacked(blocks["block"])
+        texts, bucket, _, _ = units_of(t, True)
+        cuts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]).tolist() if len(bucket) else []
+        rows = [(int(bucket[a]), blocks["chunk"][0].as_py(), squeeze(json.dumps(texts[a:b], ensure_ascii=False).encode())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_LISTS)], schema=_LISTS)
 
     def unpack(packed) -> list[str]:
-        return json.loads(zlib.decompress(packed.as_py()))
+        return json.loads(zstandard.decompress(packed.as_py()))
 
     def distinct(t: pa.Table) -> pa.Table:
         seen: set[str] = set()
@@ -215,29 +339,29 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         rows = []
         for c, p in zip(lists["chunk"].to_pylist(), lists["packed"], strict=True):
             mine = ids.take(pa.array([at[u] for u in unpack(p)], pa.int64()))
-            n = mine.value_lengths().to_numpy().astype(np.uint32)
-            rows.append((lists["bucket"][0].as_py(), c, zlib.compress(np.uint32(len(n)).tobytes() + n.tobytes() + mine.flatten().to_numpy().astype(np.uint32).tobytes(), 1)))
+            n = mine.value_lengths().to_numpy()
+            rows.append((lists["bucket"][0].as_py(), c, _numbers(n) + b"|" + _numbers(mine.flatten().to_numpy())))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_LISTS)], schema=_LISTS)
 
-    def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
-        got = dict(zip(replies["bucket"].to_pylist(), replies["packed"].to_pylist(), strict=True))
-        at: dict[str, int] = {}
+    def finish(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        t = common.unpacked(blocks["block"])
+        _, _, number, counts = units_of(t, False)
         lengths, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for b, us in units_of(t).items():
-            raw = np.frombuffer(zlib.decompress(got[b]), np.uint32)
-            at.update(zip(us, range(len(at), len(at) + len(us)), strict=True))
-            lengths.append(raw[1 : 1 + raw[0]].astype(np.int64))
-            values.append(raw[1 + raw[0] :])
+        for _, packed in sorted(zip(replies["bucket"].to_pylist(), replies["packed"].to_pylist(), strict=True)):
+            n, rest = _read_numbers(packed)
+            lengths.append(n.astype(np.int64))
+            values.append(_read_numbers(rest[1:])[0])
         n, ids = np.concatenate(lengths), np.concatenate(values).astype(np.int32)
-        start, find = np.cumsum(n) - n, re.compile(pattern).findall
-        out = []
-        for text in t["text"]:
-            u = np.array([at[x] for x in find(marked(text.as_py()))], np.int64)
+        start = np.cumsum(n) - n
+        flat = [np.zeros(0, np.int32)]
+        for at in range(0, len(number), 1 << 18):
+            u = number[at : at + (1 << 18)]
             k = n[u]
-            out.append(ids[np.repeat(start[u] - (np.cumsum(k) - k), k) + np.arange(k.sum())])
-        off = np.cumsum([0, *map(len, out)])
-        lists = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))).cast(pa.list_(pa.int32()))
-        return pa.table({"doc_id": t["doc_id"], "ids": lists})
+            flat.append(ids[np.repeat(start[u] - (np.cumsum(k) - k), k) + np.arange(k.sum())])
+        flat = np.concatenate(flat)
+        ends = np.concatenate([[0], np.cumsum(n[number])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int32()))
+        return pa.table({"doc_id": t["doc_id"], **{c: t[c] for c in keep}, "ids": lists})
 
     by_chunk = dealt.groupBy("chunk")
     lists = by_chunk.applyInArrow(hold, "bucket long, chunk long, packed binary")
@@ -246,7 +370,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     known = lattice(short, v, ("bucket",))
     known = known.unionByName(long.mapInArrow(merge, "bucket long, unit string, ids array<int>") if v.bpe else lattice(long, v, ("bucket",)))
     replies = lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "bucket long, chunk long, packed binary")
-    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(finish, "doc_id long, ids array<int>")
+    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(finish, ", ".join(f"{c} {k}" for c, k in [("doc_id", "long"), *[x for x in d.dtypes if x[0] in keep], ("ids", "array<int>")]))
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
