@@ -9,12 +9,17 @@ is cut by a checkpoint, so the plan stays short and a lost executor repeats one
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+#: Partitions of links that one task turns into a forest.
+TOGETHER = 32
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it is linked with) of the links of one task: as connected as they are, and fewer."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -35,6 +40,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[hung], nodes[root[hung]]
 
 
+def _forests(batches):
+    """The links of a task as one forest."""
+    low = high = np.zeros(0, np.int64)
+    for b in batches:
+        low, high = forest(np.concatenate([low, b.column("a").to_numpy()]), np.concatenate([high, b.column("b").to_numpy()]))
+    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a"), F.least("a", "m").alias("m"))
@@ -49,7 +62,9 @@ def _small(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that links a, b name; the component is its smallest node. Repeated links and loops do no harm."""
-    known = common.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    own = common.cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
+    fewer = own.coalesce(max(1, own.rdd.getNumPartitions() // TOGETHER)).mapInArrow(_forests, "a long, b long")
+    known = common.cut(fewer.distinct())
     last = None
     while True:
         mark = known.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
@@ -59,3 +74,13 @@ def components(links: DataFrame) -> DataFrame:
         known = common.cut(_small(_large(known).distinct()).distinct())
     every = known.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return every.unionByName(known.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `label` (node, component) once more links a, b are known: only the components that these name are united."""
+    name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    united = common.cut(components(between))
+    to = united.select(F.col("node").alias("component"), F.col("component").alias("m"))
+    known = label.join(to, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    return common.cut(known.unionByName(united.join(label.select("node"), "node", "left_anti")))

@@ -13,8 +13,9 @@ the boundary being the size at which the two ways cost least in total. Short inv
 of fitting size and position at once. Long (heavy) lists give star pairs to their first set; once those are
 verified, only pairs of different components are left of a heavy list, and they are made in square cells.
 
-Candidate pairs are sifted by the 32 smallest hashes of both sets (of which two sets at the threshold share 4
-but for a chance of about 1e-13), then verified on the whole sets. Links are united into components.
+Candidate pairs are sifted by counts of their hashes in 256 parts (an upper bound of the intersection) and by the 32
+smallest hashes of both sets (of which two sets at the threshold share 4 but for a chance of about 1e-13), then
+verified on the whole sets. Links are united into components.
 
 Edge cases: null and empty texts have no shingle and link with nothing; repeated rows are of one class; rows
 that repeat a doc_id link as one document; rows of null doc_id get their class's component (null if no
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, merged
 
 WIDTH = 5
 #: Least intersection of 100 parts of the union.
@@ -40,6 +41,8 @@ LEAST = 75
 FREQUENT, FREQUENT_FROM = 1 << 18, 16
 #: An inverted list longer than this is heavy.
 LIGHT = 24
+#: Orders of the sets by which heavy lists choose their first one, so that a set meets several; a power of 2.
+LEADERS = 32
 #: Sets a side of a cell of a heavy list, and entries of a hot list before it is salted.
 CELL, SALT_ROWS = 4096, 1 << 16
 SKETCH, SKETCH_LEAST = 32, 4
@@ -68,7 +71,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.
         inside = np.flatnonzero(n_words[doc[at]] > k)
         h2[inside] += w[at[inside] + k] * _ODD[k]
     d, h = np.concatenate([doc[full], doc[at]]), common.mix(np.concatenate([h, h2]))
-    order = np.lexsort((h, d))
+    order = common.order_in(d, h)
     d, h = d[order], h[order]
     new = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])]
     return d[new], h[new]
@@ -97,10 +100,14 @@ def _overlap(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
 
 
 def _stats(batches):
+    """doc_id, size, class, and a sketch: counts of the hashes by their first byte (255: or more), then 32 bits of each of the SKETCH smallest."""
     for b in common.slices(batches):
         d, h = shingles(*common.text_bytes(b.column("text")))
         n, c = _classes(d, h, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c)], names=["doc_id", "n_shingles", "class"])
+        first = np.searchsorted(d, np.arange(b.num_rows))
+        counts = np.minimum(np.bincount(d * 256 + (h >> np.uint64(56)).astype(np.int64), minlength=256 * b.num_rows), 255).astype(np.uint8).reshape(-1, 256)
+        sketch = [c_.tobytes() + np.sort(common.mix(h[i : i + k]).astype(np.uint32)).tobytes() for c_, i, k in zip(counts, first, np.minimum(n, SKETCH), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "class", "sketch"])
 
 
 def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -193,7 +200,7 @@ def _signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], s
                 short = h >> np.uint64(64 - bits)
                 at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                 df = np.where(keys[at] == short, counts[at], 0)
-            order = np.lexsort((h, df, d))
+            order = np.argsort(d * (1 << 32) + np.minimum(df, (1 << 32) - 1), kind="stable")  # nearly sorted already
             d, h, df = d[order], h[order], df[order]
             pos = np.arange(len(d)) - np.searchsorted(d, d)
             n = size[d]
@@ -280,32 +287,19 @@ def _lists(batches):
         yield from made(tail, True)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """(class, n, sketch): 32 bits of each of the SKETCH smallest hashes; one row a class."""
-
-    def run(batches):
-        met: set = set()
-        for b in common.slices(batches):
-            d, h = shingles(*common.text_bytes(b.column("text")))
-            size, c = _classes(d, h, b.num_rows)
-            first = np.searchsorted(d, np.arange(b.num_rows))
-            rows = []
-            for i in np.flatnonzero(size):
-                if (k := int(c[i])) not in met:
-                    met.add(k)
-                    low = common.mix(h[first[i] : first[i] + min(SKETCH, size[i])]).astype(np.uint32)
-                    rows.append((k, int(size[i]), np.sort(low).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["class", "n", "sketch"])
-
-    return docs.mapInArrow(run, "class long, n long, sketch binary").groupBy("class").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-
-
 def _sift(batches):
+    """Pairs whose sizes fit, whose counts leave room for the intersection they need, and whose smallest hashes agree often enough."""
     for b in batches:
+        if not b.num_rows:
+            continue
         n1, n2 = b.column("n1").to_numpy(), b.column("n2").to_numpy()
+        s1, s2 = b.column("s1").to_pylist(), b.column("s2").to_pylist()
+        c1, c2 = (np.frombuffer(b"".join(x[:256] for x in s), np.uint8).reshape(-1, 256) for s in (s1, s2))
+        room = np.minimum(c1, c2).sum(1, dtype=np.int64)
+        keep = _fit(n1, n2) & ((room >= _overlap(n1, n2)) | (c1 == 255).any(1) | (c2 == 255).any(1))
         least = np.minimum(SKETCH_LEAST, _overlap(n1, n2))
-        keep = [100 * min(x, y) >= LEAST * max(x, y) and len(np.intersect1d(np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32), True)) >= m for x, y, s, t, m in zip(n1, n2, b.column("s1").to_pylist(), b.column("s2").to_pylist(), least, strict=True)]
+        for i in np.flatnonzero(keep):
+            keep[i] = len(np.intersect1d(np.frombuffer(s1[i][256:], np.uint32), np.frombuffer(s2[i][256:], np.uint32), True)) >= least[i]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -323,13 +317,16 @@ def _verify(batches):
 _FILTER_BITS = 22
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs of classes (a, b) that link."""
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs of classes (a, b) that sketches and sizes let pass."""
     side = lambda c, n, s: sketches.select(F.col("class").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
-    near = pairs.distinct().join(side("a", "n1", "s1"), "a").join(side("b", "n2", "s2"), "b").mapInArrow(_sift, "a long, b long")
-    near = common.written(near)
-    one = near.select(F.explode(F.array("a", "b")).alias("c")).select(F.col("c").bitwiseAND((1 << _FILTER_BITS) - 1).alias("bit"))
-    words = one.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).collect()  # 2^17 rows at most
+    return common.written(pairs.distinct().join(side("a", "n1", "s1"), "a").join(side("b", "n2", "s2"), "b").mapInArrow(_sift, "a long, b long"))
+
+
+def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, set) of the classes, and of a few others: a bit table of fixed size tells which documents to take."""
+    low = F.col("class").bitwiseAND((1 << _FILTER_BITS) - 1)
+    words = classes.select(low.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).collect()  # 2^17 rows at most
     mask = np.zeros(1 << (_FILTER_BITS - 5), np.uint32)
     for r in words:
         mask[r["word"]] = r["bits"]
@@ -351,7 +348,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFra
             for at in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int64(), pa.binary()), strict=True)], names=["class", "set"])
 
-    sets = docs.mapInArrow(run, "class long, set binary").groupBy("class").agg(F.max("set").alias("set"))
+    return docs.mapInArrow(run, "class long, set binary").groupBy("class").agg(F.max("set").alias("set"))
+
+
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of classes (a, b) whose whole sets link."""
     side = lambda c, s: sets.select(F.col("class").alias(c), F.col("set").alias(s))
     return common.cut(near.join(side("a", "s1"), "a").join(side("b", "s2"), "b").mapInArrow(_verify, "a long, b long"))
 
@@ -362,7 +363,7 @@ def _cell_pairs(batches):
     cell = None
 
     def out():
-        part, side, cls, comp, n, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        side, cls, comp, n, pos = (np.concatenate(c) for c in zip(*held, strict=True))
         left, right = (np.flatnonzero(side == cell[1]), np.flatnonzero(side == cell[2]))
         for i in left:
             j = right[right > i] if cell[1] == cell[2] else right
@@ -380,45 +381,67 @@ def _cell_pairs(batches):
                 yield from out()
                 held = []
             cell = now
-            held.append([b.column(c).to_numpy()[s:t] for c in ("sig", "side", "class", "component", "n", "pos")])
+            held.append([b.column(c).to_numpy()[s:t] for c in ("side", "class", "component", "n", "pos")])
     if held:
         yield from out()
 
 
+def _apart(heavy: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) that heavy lists leave to verify, given the components found; see _cell_pairs."""
+    heavy = heavy.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
+    heavy = heavy.withColumn("component", F.coalesce("component", "class"))
+    lists = heavy.groupBy("sig").agg(F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    lists = lists.select("sig", F.ceil(F.col("rows") / CELL).cast("int").alias("k"))
+    apart = heavy.join(lists, "sig").withColumn("side", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    apart = apart.select("sig", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class", "component", "n", "pos")
+    cells = apart.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return common.written(cells.mapInArrow(_cell_pairs, "a long, b long").distinct())
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = common.partitions(spark)
-    stats = common.cut(d.mapInArrow(_stats, "doc_id long, n_shingles long, class long"))
+    stats = common.cut(d.mapInArrow(_stats, "doc_id long, n_shingles long, class long, sketch binary"))
     sizes = {r["n"]: r["c"] for r in stats.where("n_shingles between 1 and 100").groupBy(F.col("n_shingles").alias("n")).agg(F.count("*").alias("c")).collect()}  # 100 rows at most
     total = stats.agg(F.sum("n_shingles")).first()[0] or 0
     texts = d.select("text")
     frequent = _frequent(texts, total)
     mean = 1 + float((frequent[1] ** 2).sum() / max(1, total))
     entries = _signatures(texts, frequent, boundary(sizes, mean))
-    walked = entries.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "class").mapInArrow(_lists, "kind int, sig long, a long, b long, n int, pos int")
+    walked = entries.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", F.xxhash64("class", F.col("sig").bitwiseAND(LEADERS - 1)), "class").mapInArrow(_lists, "kind int, sig long, a long, b long, n int, pos int")
     walked = common.written(walked)
-    sketches = common.written(_sketches(texts))
-    links = _verified(texts, walked.where("kind = 0").select("a", "b"), sketches)
-    first = components(links)
-    heavy = walked.where("kind = 1").select("sig", F.col("a").alias("class"), "n", "pos").join(first.select(F.col("node").alias("class"), "component"), "class", "left")
-    heavy = heavy.withColumn("component", F.coalesce("component", "class"))
-    lists = heavy.groupBy("sig").agg(F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    lists = lists.select("sig", F.ceil(F.col("rows") / CELL).cast("int").alias("k"))
-    apart = heavy.join(lists, "sig").withColumn("side", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    apart = apart.select("sig", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class", "component", "n", "pos")
-    rest = apart.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cell_pairs, "a long, b long")
-    rest = common.written(rest.distinct())
+    sketches = stats.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    near = _near(walked.where("kind = 0").select("a", "b"), sketches)
+    met = near.select(F.explode(F.array("a", "b")).alias("class")).unionByName(walked.where("kind = 1").select(F.col("a").alias("class")))
+    sets = common.written(_sets(texts, met))
+    links = _verified(near, sets)
+    heavy = walked.where("kind = 1").select("sig", F.col("a").alias("class"), "n", "pos")
+    label = common.cut(components(links))
+    rest = _apart(heavy, label, parts)
     if not rest.isEmpty():
-        links = links.unionByName(_verified(texts, rest, sketches))
-    least = stats.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    by_id = stats.where("n_shingles > 0 and doc_id is not null").select("class", "doc_id").distinct().join(least, "class").where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    to_ids = lambda df: df.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a is not null and b is not null")
-    united = components(to_ids(links).unionByName(by_id))
-    of = stats.join(least.withColumnRenamed("class", "_c"), (F.col("class") == F.col("_c")) & (F.col("n_shingles") > 0), "left").withColumn("own", F.coalesce("doc_id", "least"))
-    out = of.join(united, of["own"] == united["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "own").alias("component_id"))
+        found = _verified(_near(rest, sketches), sets)
+        if not found.isEmpty():
+            label = merged(label, found)
+    return _by_document(stats, label)
+
+
+def _by_document(stats: DataFrame, label: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, from the components of classes."""
+    some = stats.where("n_shingles > 0").select("class", "doc_id")
+    least = some.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    named = least.join(label.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("id"))
+    named = named.join(smallest, "component").select("class", "id")
+    twice = some.where("doc_id is not null").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not twice.isEmpty():  # documents of several texts: their components are one
+        ids = some.join(twice, "doc_id").join(named, "class").select("doc_id", "id")
+        own = components(ids.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
+        named = named.join(own, named["id"] == own["node"], "left").select("class", F.coalesce("component", "id").alias("id"))
+    named = named.select(F.col("class").alias("_class"), "id")
+    out = stats.join(named, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
 
 
 def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
