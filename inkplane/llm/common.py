@@ -6,6 +6,7 @@ at once, so the cost of a call is spread over some megabytes; slices are bounded
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one kernel call takes (one longer document is a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def bounded(spark: SparkSession) -> None:
     """Arrow batches of long rows stay small, whatever number of rows the session allows in one."""
     if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +99,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    trim()
+
+
+def trim() -> None:
+    """Gives back what the allocators of this process hold unused; workers live from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
