@@ -4,9 +4,13 @@ A pass orders all vectors by a string of concatenated random hashes (signs of pr
 the tasks, and compares each vector with the WINDOW before it; cosines are in double precision. The links of
 a task leave it as a forest. The forests of all passes are united into components.
 
-Windows are bounded, groups are not: inside each component all pairs are then measured in square blocks of
-at most BLOCK vectors a side, dealt over the tasks, and only counts leave a block. So every link inside a
-component counts, however many copies it holds.
+Windows are bounded, groups are not. What the windows miss a second round finds: vectors are dealt in buckets of equal
+hash bits, and in a bucket all pairs of different components are measured, so a crowd beside a vector hides no link.
+Up to EXACT rows one bucket holds all. Beyond, bits grow with the rows, and passes with the bits, until a link
+at the threshold is missed by all of them with a chance of at most MISS, whatever the table's size or density.
+
+Inside each component all pairs are then measured in square blocks of at most BLOCK vectors a side, dealt over
+the tasks, and only counts leave a block. So every link inside a component counts, however many copies it holds.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components link with nothing, as do those
 of another length; rows that repeat a vec_id are one vector (the smallest sound one); a null vec_id is a row of
@@ -15,18 +19,29 @@ its own without links; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components, forest
+from .components import components, forest, merged
 from .neighbours import sound, strings
 
 LEAST = 0.95
 #: Passes, bits of a pass's string, vectors before each that it is compared with, vectors of a block's side.
 PASSES, BITS, WINDOW, BLOCK = 20, 63, 24, 1024
+#: Rows up to which the second round has one bucket, rows of a bucket beyond, chance that it misses a link of cosine LEAST.
+EXACT, BUCKET, MISS = 1 << 14, 1024, 1e-6
+
+
+def second_round(n: int) -> tuple[int, int]:
+    """Passes and bits of the second round for n vectors: (1 - P(all bits of a pass agree)) ** passes <= MISS."""
+    bits = max(1, math.ceil(math.log2(n / BUCKET))) if n > EXACT else 0
+    agree = (1 - math.acos(LEAST) / math.pi) ** bits
+    return (math.ceil(math.log(MISS) / math.log1p(-agree)) if bits else 1), bits
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -74,39 +89,99 @@ def _window_links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
 
-def _block_counts(batches):
-    """(vec_id, n) links of the vectors of each cell; cells arrive whole and one after the other."""
+def _cells(batches, *names):
+    """(key, columns by name, vectors) of each cell; `names` begin with the five of the key. Cells arrive whole and one after the other."""
     held: list = []
     cell = None
 
     def out():
-        side, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-        i, j = cell[2], cell[3]
-        if i == j:
-            n = ((x @ x.T) >= LEAST).sum(1) - 1
-            yield ids, n
-        else:
-            hit = (x[side == i] @ x[side == j].T) >= LEAST
-            yield ids[side == i], hit.sum(1)
-            yield ids[side == j], hit.sum(0)
+        *cols, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        return cell, dict(zip(names[5:], cols, strict=True)), x
 
     for b in batches:
-        key = [b.column(c).to_numpy() for c in ("component", "dim", "i", "j")]
+        key = [b.column(c).to_numpy() for c in names[:5]]
         cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in key], axis=0), True]) if b.num_rows else []
         for s, t in zip(cuts[:-1], cuts[1:], strict=True):
             now = tuple(int(c[s]) for c in key)
             if cell is not None and now != cell:
-                for ids, n in out():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64())], names=["vec_id", "n"])
+                yield out()
                 held = []
             cell = now
             x = np.frombuffer(b"".join(b.column("v").slice(s, t - s).to_pylist()), np.float64).reshape(t - s, cell[1])
-            held.append((b.column("side").to_numpy()[s:t], b.column("vec_id").to_numpy()[s:t], x))
+            held.append((*(b.column(c).to_numpy()[s:t] for c in names[5:]), x))
     if held:
-        for ids, n in out():
+        yield out()
+
+
+def _block_counts(batches):
+    """(vec_id, n) links of the vectors of each cell."""
+    for (_, _, _, i, j), c, x in _cells(batches, "component", "dim", "bucket", "i", "j", "side", "vec_id"):
+        side, ids = c["side"], c["vec_id"]
+        if i == j:
+            counts = [(ids, ((x @ x.T) >= LEAST).sum(1) - 1)]
+        else:
+            hit = (x[side == i] @ x[side == j].T) >= LEAST
+            counts = [(ids[side == i], hit.sum(1)), (ids[side == j], hit.sum(0))]
+        for ids, n in counts:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64())], names=["vec_id", "n"])
 
 
+def _cell_links(batches):
+    """Forest of the links between vectors of different labels of each cell."""
+    for (_, _, _, i, j), c, x in _cells(batches, "pass", "dim", "bucket", "i", "j", "side", "vec_id", "label"):
+        left, right = np.flatnonzero(c["side"] == i), np.flatnonzero(c["side"] == j)
+        p, q = np.nonzero((x[left] @ x[right].T) >= LEAST)
+        p, q = left[p], right[q]
+        new = c["label"][p] != c["label"][q]
+        if new.any():
+            low, high = forest(c["vec_id"][p[new]], c["vec_id"][q[new]])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+
+def _bucketed(packed: DataFrame, passes: int, bits: int) -> DataFrame:
+    """packed with the bucket of every vector in each pass of the second round."""
+
+    def run(batches):
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                for part in np.array_split(own, max(1, len(own) // 2048)):
+                    rows = b.select(["vec_id", "dim", "label", "v"]).take(pa.array(part))
+                    x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(part), dim)
+                    buckets = strings(x, passes, bits, 29).astype(np.int64) if bits else np.zeros((len(part), passes), np.int64)
+                    yield rows.append_column("buckets", pa.array(list(buckets), pa.list_(pa.int64())))
+
+    return packed.select("vec_id", "dim", "label", "v").mapInArrow(run, "vec_id long, dim int, label long, v binary, buckets array<long>")
+
+
+def _missed(packed: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """Links a, b between the components of `found` (a vector without links is its own), by the second round.
+
+    A component of more than BLOCK vectors of a bucket has sides of its own, and no cell pairs it with itself.
+    """
+    passes, bits = second_round(packed.count())
+    known = packed.join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("label", F.coalesce("component", "vec_id"))
+    known = common.cut(known.select("vec_id", "dim", "label", "v"))
+    each = _bucketed(known, passes, bits).select("vec_id", "dim", "label", "v", F.posexplode("buckets").alias("pass", "bucket"))
+    at = ["pass", "dim", "bucket"]
+    held = each.groupBy(*at, "label").count().withColumn("big", F.col("count") > BLOCK)
+    units = held.groupBy(*at, "big", F.when(F.col("big"), F.col("label")).otherwise(0).alias("own")).agg(F.sum("count").alias("n"))
+    sides = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1), lambda s: F.struct("big", "own", s.alias("s")))
+    shape = units.groupBy(*at).agg(F.array_sort(F.flatten(F.collect_list(sides))).alias("units"), F.sum("n").alias("n"), F.count("*").alias("kinds"), F.bool_or("big").alias("any"))
+    shape = shape.where("n > 1 and (kinds > 1 or not any)").select(*at, "units")
+    row = each.join(shape, at)
+    row = row.withColumn("big", F.exists("units", lambda u: u["big"] & (u["own"] == F.col("label"))))
+    row = row.withColumn("own", F.when(F.col("big"), F.col("label")).otherwise(0))
+    same = lambda u: (u["big"] == F.col("big")) & (u["own"] == F.col("own"))
+    row = row.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.size(F.filter("units", same))).cast("int"))
+    row = row.withColumn("side", F.array_position("units", F.struct("big", "own", "s")).cast("int") - 1)
+    others = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda o: ~(F.col("big") & same(F.get("units", o))))
+    row = row.withColumn("other", F.explode(others))
+    row = row.select(*at, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "vec_id", "label", "v")
+    return row.repartition(parts, *at, "i", "j").sortWithinPartitions(*at, "i", "j").mapInArrow(_cell_links, "a long, b long")
+
+
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = rows.sparkSession
@@ -118,11 +193,12 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     parts = common.partitions(spark)
     passes = each.repartitionByRange(parts, "pass", "dim", "key").sortWithinPartitions("pass", "dim", "key", "vec_id")
     found = components(passes.select("pass", "dim", "vec_id", "v").mapInArrow(_window_links, "a long, b long"))
+    found = merged(found, _missed(packed, found, parts))
     sizes = found.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
     member = found.join(sizes, "component").withColumnRenamed("node", "vec_id").join(packed.select("vec_id", "dim", "v"), "vec_id")
     side = F.pmod(F.xxhash64("vec_id"), F.col("k")).cast("int")
     member = member.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    member = member.select("component", "dim", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "vec_id", "v")
+    member = member.select("component", "dim", F.lit(0).alias("bucket"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "vec_id", "v")
     cells = member.repartition(parts, "component", "dim", "i", "j").sortWithinPartitions("component", "dim", "i", "j")
     counted = cells.mapInArrow(_block_counts, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     known = found.withColumnRenamed("node", "vec_id").join(counted, "vec_id", "left")

@@ -97,3 +97,29 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {200: 200, 201: 200}
     a, b = components.forest(*np.array(pairs).T)
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {n: c for n, c in got.items() if n != c}
+
+
+@pytest.mark.parametrize("exact", [1 << 14, 256])
+def test_links_beside_a_hot_group(spark, monkeypatch, exact):
+    monkeypatch.setattr(vector_dedup, "EXACT", exact)
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = unit(unit(rng.standard_normal(64)) + 0.02 * rng.standard_normal((3000, 64)))
+    own = rng.choice(3000, 40, replace=False)
+    away = rng.standard_normal((40, 64))
+    away = unit(away - (away * hot[own]).sum(1, keepdims=True) * hot[own])
+    x = np.concatenate([hot, 0.952 * hot[own] + np.sqrt(1 - 0.952**2) * away, rng.standard_normal((500, 64))])
+    x = unit(x)
+    near = x @ x.T >= vector_dedup.LEAST
+    links = near.sum(1) - 1
+    assert links[3000:3040].min() >= 1 and links[3000:3040].max() < 3000 and not links[3040:].any()
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect()}
+    assert got == {i: (n, 0 if n else i) for i, n in enumerate(links.tolist())}
+
+
+def test_the_second_round_grows_with_the_rows():
+    agree = 1 - np.arccos(vector_dedup.LEAST) / np.pi
+    for n in (1, 10**4, 10**5, 10**6, 10**8, 10**10):
+        passes, bits = vector_dedup.second_round(n)
+        assert (1 - agree**bits) ** passes <= vector_dedup.MISS and n / 2**bits <= vector_dedup.EXACT
