@@ -1,7 +1,8 @@
 """Similar sketches. A sketch is a name with the vectors of its views.
 
 Mean scores need no pair of views: the mean dot product of all pairs is the dot product of the two means. Only
-the best pair compares views, and there the query's views go along as one array, whose size is checked.
+the best pair compares views. There the query's views go to every task as one array; more than MOST_VIEWS of them are
+cut in blocks of about that size, and every view meets each block.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ def best_pair(views: DataFrame, query: str) -> DataFrame:
     own = _unit(views.where(F.col("name") == query))
     n = own.count()
     if n > MOST_VIEWS:
-        raise ValueError(f"the query has {n} views; {MOST_VIEWS} can be sent to every task")
-    sent = own.agg(F.collect_list("u").alias("q"))
+        block = F.pmod(F.xxhash64("u"), F.lit(-(-n // MOST_VIEWS)))
+        sent = own.select("u").distinct().groupBy(block.alias("block")).agg(F.collect_list("u").alias("q")).select("q").hint("shuffle_replicate_nl")
+    else:
+        sent = F.broadcast(own.agg(F.collect_list("u").alias("q")))
     best = F.aggregate("q", F.lit(float("-inf")), lambda s, q: F.greatest(s, V.dot(q, F.col("u"))))
-    return _unit(views).crossJoin(F.broadcast(sent)).select("name", best.alias("s")).groupBy("name").agg(F.max("s").alias("score"))
+    return _unit(views).crossJoin(sent).select("name", best.alias("s")).groupBy("name").agg(F.max("s").alias("score"))
 
 
 def mean_pair(views: DataFrame, query: str) -> DataFrame:

@@ -132,6 +132,17 @@ def test_search_strategies(spark):
     assert search.similar(d, "s1", top_k=2).first()["name"] == "s1"
 
 
+def test_best_pair_of_a_query_beyond_the_bound(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    rows = [(f"s{i % 3}", i // 3, [float(x) for x in v]) for i, v in enumerate(rnd.standard_normal((60, 5)))]
+    rows += [("s0", 100 + i, rows[0][2]) for i in range(20)]
+    d = spark.createDataFrame(rows, "name string, view_no int, vec array<double>")
+    want = {r["name"]: r.score for r in search.best_pair(d, "s0").collect()}
+    monkeypatch.setattr(search, "MOST_VIEWS", 7)
+    assert {r["name"]: r.score for r in search.best_pair(d, "s0").collect()} == want and len(want) == 3
+    assert [r["name"] for r in search.similar(d, "s0", top_k=2).collect()] == [n for n, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:2]]
+
+
 def test_embeddings_round_trip(spark, tmp_path):
     sheets = spark.createDataFrame([("a", [b"1", b"22"], None), ("b", [], None), ("c", [b"3"], "broken")], "name string, crops array<binary>, error string")
     d = search.embed(sheets, lambda: lambda crop: [float(len(crop)), 1.0], 2)
