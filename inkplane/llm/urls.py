@@ -6,7 +6,9 @@ smoothed by Witten-Bell interpolation from order 0 up to ORDER. A URL that no ru
 difference of the two log-likelihoods, divided by its length, falls below a threshold; the threshold is
 calibrated on the fold of rule-judged URLs that the models did not count.
 
-Counts live in tables of 2^CELL_BITS hashed cells, so the broadcast model has a fixed size for any corpus.
+Counts are exact and grow with the table: a row for every distinct string (by its 64-bit hash), dealt in buckets.
+Nothing of the model is broadcast. URLs are dealt in groups; a group asks the buckets for each string that it holds
+once, so common strings make no hot key, and is scored with the answers.
 
 Edge cases: null urls and those without `://` have empty host and path and no rule; without URLs of both
 verdicts to learn from, scores are 0 and the verdict is allow; repeated rows give repeated rows; an empty
@@ -27,8 +29,9 @@ from . import common
 #: Host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 ORDER = 5
-CELL_BITS = 20
-_CELLS = 1 << CELL_BITS
+#: Distinct strings of a bucket of counts, bytes of URLs of a group, bytes of URLs whose questions one bucket takes.
+_CELLS, GROUP_BYTES, ASKED_BYTES = 1 << 18, 1 << 19, 1 << 21
+_TABLES = [(v, w) for v in ("allow", "block") for w in ("gram", "ctx", "kinds")]
 #: Bins of the calibration's score histogram over -LIMIT..LIMIT nats a byte.
 _HIST, _LIMIT = 400, 4.0
 
@@ -82,50 +85,92 @@ def _counted(urls: DataFrame) -> DataFrame:
 
 
 class Models:
-    """Counts of byte strings, of contexts, and of bytes seen after a context, for both verdicts, in hashed cells."""
+    """Counts of byte strings, of contexts, and of bytes seen after a context, for both verdicts, of the strings of ascending hashes `keys`."""
 
-    def __init__(self, tables: dict[tuple[str, str], np.ndarray]):
+    def __init__(self, tables: dict[tuple[str, str], np.ndarray], keys: np.ndarray | None = None):
         self.tables = tables
-        self.ready = all(t.any() for (_, what), t in tables.items() if what == "gram") and bool(tables)
+        self.keys = np.zeros(0, np.uint64) if keys is None else keys
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Log-likelihood as allowed less that as blocked, a byte."""
         n = len(off) - 1
-        if not self.ready or not len(data):
+        if not len(self.keys) or not len(data):
             return np.zeros(n)
         p = {v: np.full(len(data), 1 / 256) for v in ("allow", "block")}
         for i, ctx, gram in _grams(data, off):
-            c, g = (ctx & np.uint64(_CELLS - 1)).astype(np.int64), (gram & np.uint64(_CELLS - 1)).astype(np.int64)
+            (c, known), (g, held) = self._at(ctx), self._at(gram)
             for v, q in p.items():
-                kinds, seen = self.tables[v, "kinds"][c], self.tables[v, "ctx"][c]
-                q[i] = np.where(seen > 0, (np.minimum(self.tables[v, "gram"][g], seen) + kinds * q[i]) / np.maximum(seen + kinds, 1), q[i])
+                kinds, seen = self.tables[v, "kinds"][c] * known, self.tables[v, "ctx"][c] * known
+                q[i] = np.where(seen > 0, (self.tables[v, "gram"][g] * held + kinds * q[i]) / np.maximum(seen + kinds, 1), q[i])
         llr = np.log(p["allow"]) - np.log(p["block"])
         return np.bincount(np.repeat(np.arange(n), np.diff(off)), llr, n) / np.maximum(np.diff(off), 1)
 
+    def _at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
 
-def fit(urls: DataFrame) -> Models:
-    counted = common.cut(_counted(urls))
-    cell = lambda c: (F.col(c).bitwiseAND(_CELLS - 1)).cast("int").alias("cell")
-    grams = counted.groupBy("verdict", F.lit("gram").alias("what"), cell("gram")).agg(F.sum("n").alias("n"))
-    contexts = counted.groupBy("verdict", "ctx").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    contexts = contexts.select("verdict", cell("ctx"), F.explode(F.create_map(F.lit("ctx"), "n", F.lit("kinds"), "kinds")).alias("what", "n")).groupBy("verdict", "what", "cell").agg(F.sum("n").alias("n"))
-    tables = {(v, w): np.zeros(_CELLS, np.float32) for v in ("allow", "block") for w in ("gram", "ctx", "kinds")}
-    got = grams.unionByName(contexts).toArrow()  # at most six rows a cell
-    verdict, what = np.array(got["verdict"].to_pylist()), np.array(got["what"].to_pylist())
-    for (v, w), t in tables.items():
-        own = (verdict == v) & (what == w)
-        t[got["cell"].to_numpy()[own]] = got["n"].to_numpy()[own]
-    return Models(tables)
-
-
-def _with_scores(urls: DataFrame, model: Models) -> DataFrame:
-    sent = urls.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for b in common.slices(batches, "line"):
-            yield b.append_column("score", pa.array(sent.value.score(*common.text_bytes(b.column("line"))), pa.float64()))
-
-    return urls.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in urls.dtypes) + ", score double")
+def fit(urls: DataFrame) -> DataFrame | None:
+    """key and the six counts of every distinct string; None unless both verdicts are there to learn from."""
+    counted = common.cut(_counted(urls))
+    if counted.select("verdict").distinct().count() < 2:
+        return None
+    zero = F.lit(0).cast("long")
+    grams = counted.select("verdict", F.col("gram").alias("key"), F.col("n").alias("gram"), zero.alias("ctx"), zero.alias("kinds"))
+    contexts = counted.groupBy("verdict", F.col("ctx").alias("key")).agg(zero.alias("gram"), F.sum("n").alias("ctx"), F.count("*").alias("kinds"))
+    both = grams.unionByName(contexts.select("verdict", "key", "gram", "ctx", "kinds"))
+    return common.written(both.groupBy("key").agg(*[F.sum(F.when(F.col("verdict") == v, F.col(w)).otherwise(0)).alias(f"{v}_{w}") for v, w in _TABLES]))
+
+
+def _with_scores(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """urls (page_id, line and others) with their scores; only strings that the model knows come back to a group."""
+    parts = common.partitions(urls.sparkSession)
+    total = urls.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    groups = max(parts, -(-total // GROUP_BYTES))
+    bits = max(model.count() // _CELLS, total // ASKED_BYTES, parts).bit_length()
+    names, columns = [f"{v}_{w}" for v, w in _TABLES], urls.columns
+    dealt = urls.withColumn("group", F.pmod(F.xxhash64("page_id", "line"), F.lit(groups))).repartition(max(parts, groups // 16), "group")
+    known = model.withColumn("bucket", F.col("key").bitwiseAND((1 << bits) - 1))
+
+    def ask(t: pa.Table) -> pa.Table:
+        keys = []
+        for b in common.slices(iter(t.select(["line"]).combine_chunks().to_batches()), "line"):
+            keys += [np.unique(np.concatenate(x)) for x in zip(*((c, g) for _, c, g in _grams(*common.text_bytes(b.column("line")))), strict=True)]
+        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        bucket = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(keys) else []
+        rows = [(int(bucket[order[x]]), keys[order[x:y]].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([pa.array([t["group"][0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["group", "bucket", "keys"])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        rows = []
+        if asked.num_rows and held.num_rows:
+            key = held["key"].to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            key, counts = key[order], np.stack([held[c].to_numpy() for c in names])[:, order]
+            for group, blob in zip(asked["group"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+                mine = np.frombuffer(blob, np.uint64)
+                at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+                at = at[key[at] == mine]
+                if len(at):
+                    rows.append((group, key[at].tobytes(), counts[:, at].T.tobytes()))
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["group", "keys", "counts"])
+
+    def score(t: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(answers["keys"].to_pylist()), np.uint64)
+        counts = np.frombuffer(b"".join(answers["counts"].to_pylist()), np.int64).reshape(-1, len(names))
+        order = np.argsort(keys)
+        own = Models({k: counts[order, i].astype(np.float64) for i, k in enumerate(_TABLES)}, keys[order])
+        t = t.select(columns).combine_chunks()
+        scores = [own.score(*common.text_bytes(b.column("line"))) for b in common.slices(iter(t.to_batches()), "line")]
+        return t.append_column("score", pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64()))
+
+    by_group = dealt.groupBy("group")
+    asked = dealt.select("group", "line").groupBy("group").applyInArrow(ask, "group long, bucket long, keys binary")
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "group long, keys binary, counts binary")
+    return by_group.cogroup(answers.groupBy("group")).applyInArrow(score, ", ".join(f"{c} {t}" for c, t in urls.dtypes) + ", score double")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -150,12 +195,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     d = d.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("line"))
     apart = F.pmod(F.xxhash64("line"), F.lit(5)) == 0
-    ruled = d.where("verdict is not null")
-    model = fit(ruled.where(~apart))
-    threshold = calibrate(_with_scores(ruled.where(apart).select("line", "verdict"), model))
-    own = F.when(F.col("score") >= threshold, "allow").otherwise("block") if model.ready else F.lit("allow")
-    out = _with_scores(d.select("page_id", "host", "path", "rule", "verdict", "line"), model)
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
+    model = fit(d.where("verdict is not null").where(~apart))
+    if model is None:
+        return d.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    scored = common.written(_with_scores(d, model).withColumn("apart", apart).drop("line"))
+    threshold = calibrate(scored.where("apart and verdict is not null"))
+    own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
 
 
 def op4_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

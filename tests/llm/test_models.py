@@ -1,7 +1,10 @@
+import collections
+import math
 import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from inkplane.llm import common, quality, urls
 
@@ -84,3 +87,41 @@ def test_witten_bell_probabilities_add_up():
     tables = {(v, w): np.zeros(urls._CELLS, np.float32) for v in ("allow", "block") for w in ("gram", "ctx", "kinds")}
     assert (urls.Models(tables).score(*_bytes(["abc"])) == 0).all()
     assert rnd is not None
+
+
+def test_url_scores_are_those_of_exact_counts(spark):
+    """So many distinct strings that in 2^20 hashed cells many shared one: each must keep its own counts."""
+    rnd = np.random.default_rng(8)
+    word = lambda: "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 90))
+    rows = [(f"http://{'x.net/' if i % 2 else 'x.org/fr/'}{word()}", i) for i in range(1200)] + [(f"http://y.edu/{word()}", 10000 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "url string, page_id long")
+    host, path = urls.host_and_path(F.col("url"))
+    lines = df.select("page_id", F.concat(host, path).alias("line"), (F.pmod(F.xxhash64(F.concat(host, path)), F.lit(5)) == 0).alias("apart"), urls.by_rule(host, path)[1].alias("verdict")).collect()
+    counts = {v: collections.Counter() for v in ("allow", "block")}
+    after = {v: collections.defaultdict(set) for v in counts}
+    seen = {v: collections.Counter() for v in counts}
+    for r in lines:
+        if r.verdict and not r.apart:
+            for i in range(len(r.line)):
+                for k in range(min(i, urls.ORDER) + 1):
+                    c = r.line[i - k : i]
+                    counts[r.verdict][r.line[i - k : i + 1]] += 1
+                    seen[r.verdict][c] += 1
+                    after[r.verdict][c].add(r.line[i])
+    assert sum(map(len, counts.values())) > 1 << 17
+
+    def log(v, line):
+        out = 0
+        for i in range(len(line)):
+            q = 1 / 256
+            for k in range(min(i, urls.ORDER) + 1):
+                c = line[i - k : i]
+                if seen[v][c]:
+                    q = (counts[v][line[i - k : i + 1]] + len(after[v][c]) * q) / (seen[v][c] + len(after[v][c]))
+            out += math.log(q)
+        return out
+
+    got = {r.page_id: r.score for r in urls.judge(df).collect()}
+    assert len(got) == len(rows)
+    for r in lines[-60:]:
+        assert abs(got[r.page_id] - (log("allow", r.line) - log("block", r.line)) / len(r.line)) < 1e-9
