@@ -10,8 +10,8 @@ hash within it; neighbouring windows of one anchor make a run. Equal windows hav
    once a run. The texts right of an anchor and, backwards, left of it are sorted as suffixes, deep-shallow:
    by anchor and SHALLOW bytes first, then a blind trie for each group that is still equal. Two occurrences
    share the windows that their longest common prefixes on both sides leave room for.
-3. An anchor of very many chunks sends hashes of its windows instead, one a chunk; these are spread by the
-   window, so no task gathers a common passage's occurrences.
+3. An anchor of very many chunks sends its windows instead, each once a chunk; these are spread by the hash of the
+   window, so no task gathers a common passage's occurrences, and sorted deep-shallow: bytes decide here too.
 
 All steps are one plan over one exchange of the texts, which Spark reads again for each step.
 
@@ -97,16 +97,22 @@ class Runs:
             out[own] = np.where((at >= 0) & (at < len(data)), data[np.clip(at, 0, len(data) - 1)], 0)
         return out
 
-    def windows(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(run, window's start, hash) of every window of some runs."""
+    def windows(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(run, window's start, hash, bytes) of every window of some runs."""
         n = self.count[i]
         run = np.repeat(i, n)
         start = np.repeat(self.first[i], n) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        hashes = np.zeros(len(run), _U)
+        hashes, text = np.zeros(len(run), _U), np.zeros((len(run), LENGTH), np.uint8)
         for p in np.unique(self.part[i]):
             own = np.flatnonzero(self.part[run] == p)
-            hashes[own] = common.span_hash(common.prefix_hash(self.parts[p][1]), start[own], start[own] + LENGTH)
-        return run, start, hashes
+            hashes[own] = window_hash(self.parts[p][1], start[own])
+            text[own] = np.lib.stride_tricks.sliding_window_view(self.parts[p][1], LENGTH)[start[own]]
+        return run, start, hashes, text
+
+
+def window_hash(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at some places; they deal and order windows, equality is that of the bytes."""
+    return common.mix(common.span_hash(common.prefix_hash(data), start, start + LENGTH))
 
 
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +127,16 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _same(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows by hash and where in it other bytes begin."""
+    order, new = _grouped(hashes)
+    t = text[order]
+    if ((t[1:] != t[:-1]).any(1) & ~new[1:]).any():  # one hash of different windows
+        order, lcp = deep_shallow(hashes, text)
+        new = lcp < LENGTH
+    return order, new
+
+
 def _least(ids: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
     """For each element the smallest id of its group."""
     if not len(order):
@@ -204,6 +220,14 @@ def _codes(runs: Runs, replies: pa.Table, bits: int, kind: int, hashes: np.ndarr
     return np.where(known[at] == mine, codes[at], 0).astype(np.uint8)
 
 
+def _bit(replies: pa.Table, n: int) -> np.ndarray:
+    """Step 3's answers, of the n different windows that this chunk sent, in their order."""
+    rows = sorted((b, y) for k, b, y in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["b"].to_pylist(), strict=True) if k == 2)
+    got = np.frombuffer(b"".join(y for _, y in rows), np.uint8)
+    assert len(got) == n
+    return got.astype(bool)
+
+
 def _senders(runs: Runs, ids: np.ndarray, code: np.ndarray):
     """For runs whose anchor has differing ones: which are the first of their run in the chunk, in order of anchor and run."""
     some = np.flatnonzero(code >= 2)
@@ -216,7 +240,7 @@ def _senders(runs: Runs, ids: np.ndarray, code: np.ndarray):
 
 
 def _around(runs: Runs, ids: np.ndarray, code: np.ndarray, bits: int, chunk: int) -> list[tuple]:
-    """Steps 2 and 3: texts around anchors (kind 1), hashes of windows (kind 2)."""
+    """Steps 2 and 3: texts around anchors (kind 1), windows (kind 2)."""
     senders = _senders(runs, ids, code)
     cold, hot = senders[code[senders] == 2], senders[code[senders] == 3]
     rows = []
@@ -227,8 +251,11 @@ def _around(runs: Runs, ids: np.ndarray, code: np.ndarray, bits: int, chunk: int
         sides = runs.sides(cold)
         rows += [(1, int(bucket[a]), chunk, head[a:b].tobytes(), sides[a:b].tobytes()) for a, b in _ranges(bucket)]
     if len(hot):
-        hashes = np.unique(common.mix(runs.windows(hot)[2]))
-        rows += _packed(bits, hashes, np.ones(len(hashes), np.uint32), chunk, 2)
+        _, _, hashes, text = runs.windows(hot)
+        order, new = _same(hashes, text)
+        hashes, text = hashes[order[new]], text[order[new]]
+        bucket = (hashes >> _U(64 - bits)).astype(np.int64)
+        rows += [(2, int(bucket[a]), chunk, hashes[a:b].tobytes(), text[a:b].tobytes()) for a, b in _ranges(bucket)]
     return rows
 
 
@@ -307,13 +334,17 @@ def _owned(group: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """Answers of a bucket to steps 2 (kind 1: a mask for each text sent, in their order) and 3 (kind 2: windows that an earlier chunk has)."""
+    """Answers of a bucket to steps 2 (kind 1: a mask for each text sent, in their order) and 3 (kind 2: a flag for each window sent, whether an earlier chunk has it)."""
     kind = table["kind"][0].as_py()
     chunk, bucket = table["chunk"].to_numpy(), table["bucket"][0].as_py()
     a, b = table["a"].to_pylist(), table["b"].to_pylist()
     if kind == 2:
-        got = _settle(table)
-        return got.set_column(0, "kind", pa.array([2] * got.num_rows, pa.int32()))
+        hashes = [np.frombuffer(x, _U) for x in a]
+        of = np.repeat(chunk, [len(x) for x in hashes])
+        order, lcp = deep_shallow(np.concatenate(hashes), np.frombuffer(b"".join(b), np.uint8).reshape(-1, LENGTH))
+        gone = (of > _least(of, order, lcp < LENGTH)).astype(np.uint8)
+        cuts = np.cumsum([0, *map(len, hashes)])
+        return _table([(2, bucket, int(c), b"", gone[s:t].tobytes()) for c, s, t in zip(chunk, cuts[:-1], cuts[1:], strict=True)], _BLOB_NAMES, _BLOBS)
     heads = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in a]
     head, sides = np.concatenate(heads), np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 2 * SIDE) for x in b])
     mask = _owned(head[:, 0], head[:, 1], head[:, 2], head[:, 3], sides)
@@ -345,18 +376,20 @@ def _removed(runs: Runs, ids: np.ndarray, replies: pa.Table, bits: int) -> tuple
     parts = [(runs.part[whole], runs.first[whole], runs.first[whole] + runs.count[whole] + LENGTH - 1)]
     parts.append((runs.part[own[r]], runs.anchor[own[r]] - reach, runs.anchor[own[r]] - reach + LENGTH))
     if len(hot):
-        run, start, h = runs.windows(hot)
-        h = common.mix(h)
-        o, n = _grouped(h)
-        gone = (_codes(runs, replies, bits, 2, h) == 1) | (ids[run] > _least(ids[run], o, n))
-        # the same window in an earlier document of the chunk may stand in a run that is whole already
-        every = np.flatnonzero((code == 3) & whole)
-        if len(every):
-            run2, _, h2 = runs.windows(every)
-            h2 = common.mix(h2)
-            o2, n2 = _grouped(np.concatenate([h, h2]))
-            gone |= (ids[run] > _least(np.concatenate([ids[run], ids[run2]]), o2, n2)[: len(h)])
-        parts.append((runs.part[run[gone]], start[gone], start[gone] + LENGTH))
+        # the windows sent, then those to judge, then those of runs that are whole already: an earlier document of the chunk may hold the same
+        sets = [runs.windows(x) for x in (senders[code[senders] == 3], hot, np.flatnonzero((code == 3) & whole))]
+        run, start, h, text = (np.concatenate(x) for x in zip(*sets, strict=True))
+        sent, upto = len(sets[0][0]), len(sets[0][0]) + len(sets[1][0])
+        o, n = _same(h, text)
+        group = np.empty(len(o), np.int64)
+        group[o] = np.cumsum(n) - 1
+        earlier = np.zeros(int(n.sum()), bool)
+        so, sn = _same(h[:sent], text[:sent])
+        there = group[so[sn]]
+        earlier[there] = _bit(replies, len(there))
+        gone = (earlier[group] | (ids[run] > _least(ids[run], o, n)))[sent:upto]
+        run, start = run[sent:upto][gone], start[sent:upto][gone]
+        parts.append((runs.part[run], start, start + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from inkplane.llm import suffix_dedup as sd
@@ -58,6 +60,35 @@ def test_hot_anchors_by_windows(spark, monkeypatch):
     _check(spark.createDataFrame(_corpus(4), "doc_id long, text string"))
 
 
+def test_hot_windows_of_one_hash_are_told_apart_by_bytes(monkeypatch):
+    """Passages in chunks of their own, every window of one hash: only the bytes part them."""
+    monkeypatch.setattr(sd, "HOT", 1)
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = word(60)
+    rows = [(i, word(80) + passage + word(80)) for i in range(6)]
+    bits = 4
+    held = []
+    for i, t in rows:
+        held.append((i, pa.table([pa.array([i]), pa.array([t])], names=["doc_id", "text"]), sd.Runs(pa.chunked_array([[t]]))))
+    with monkeypatch.context() as m:
+        m.setattr(sd, "window_hash", lambda data, start: np.ones(len(start), np.uint64))
+        asked = sd._table([r for i, t, x in held for r in sd._held(x, bits, i)], sd._BLOB_NAMES, sd._BLOBS)
+        codes = [sd._settle(asked.filter(pa.compute.equal(asked["bucket"], b))) for b in asked["bucket"].unique().to_pylist()]
+        replies = pa.concat_tables(codes)
+        mine = lambda table, i: table.filter(pa.compute.equal(table["chunk"], i))
+        sent = []
+        for i, t, x in held:
+            ids = np.full(len(x.key), i)
+            sent += sd._around(x, ids, sd._codes(x, mine(replies, i), bits, 0, x.key), bits, i)
+        assert any(r[0] == 2 for r in sent)
+        sent = sd._table(sent, sd._BLOB_NAMES, sd._BLOBS)
+        keys = sorted({(r["kind"], r["bucket"]) for r in sent.to_pylist()})
+        replies = pa.concat_tables([replies, *[sd._resolve(sent.filter(pa.compute.and_(pa.compute.equal(sent["kind"], k), pa.compute.equal(sent["bucket"], b)))) for k, b in keys]])
+        got = [sd._finish(x, np.full(len(x.key), i), t["doc_id"], mine(replies, i), bits).to_pylist()[0] for i, t, x in held]
+    assert [tuple(r.values()) for r in got] == _brute(rows)
+
+
 def test_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK_BYTES", 700)
     _check(spark.createDataFrame(_corpus(5, 80), "doc_id long, text string"))
