@@ -8,8 +8,9 @@ Base kinds, leftmost and non-overlapping within their kind: email, ip (parts at
 digits passing Luhn), phone (8 to 15 digits); a match that fails is dropped, its text not tried again.
 Added kinds: url, iban (mod 97), secret (a value assigned to a password, token, secret or key), ssn.
 
-Edge cases: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows give
-repeated rows; an empty table gives an empty result; other columns are ignored.
+Edge cases: null and empty texts have no spans; offsets are code points, ends exclusive; numbers may have any
+number of digits, and leading zeros do not count; repeated rows give repeated rows; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,6 +70,13 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, a: int, b: int) -> int:
+    """End of the longest valid number from a to at most b that ends with a word, 0 if there is none: words may follow a number."""
+    ends = [b] if not text[b : b + 1].isalnum() else []
+    ends += [e for e in range(b - 1, a, -1) if text[e] == " "]
+    return next((e for e in ends if _iban_ok(text[a:e])), 0)
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind in the order of KINDS, then by start."""
     if not text:
@@ -89,7 +97,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     put("card", at, m.end())
             if at >= past["ip"] and (at == 0 or text[at - 1] not in _DIGITS or at == past["ip"]) and (m := _IP.match(text, at)):
                 past["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+                if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                     put("ip", at, m.end())
         elif what == "@":
             a = at
@@ -111,9 +120,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 put("url", a, m.end())
         else:
             m = {"iban": _IBAN, "secret": _SECRET, "ssn": _SSN}[what].match(text, end + 1)
-            if m and m.start(1) >= past[what] and (what != "iban" or _iban_ok(m[1])):
-                past[what] = m.end(1)
-                put(what, m.start(1), m.end(1))
+            if m and m.start(1) >= past[what] and (b := _iban_end(text, *m.span(1)) if what == "iban" else m.end(1)):
+                past[what] = b
+                put(what, m.start(1), b)
     return [(kind, a, b) for kind in KINDS for a, b in found.get(kind, ())]
 
 
