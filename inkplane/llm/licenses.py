@@ -70,18 +70,24 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
-    def alignments(self, postings: list[np.ndarray], template: np.ndarray, anchors: int) -> np.ndarray:
-        """Word positions at which the template may start, from the postings of its rarest words."""
+    def alignments(self, postings: list[np.ndarray], doc: np.ndarray, template: np.ndarray, anchors: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, document): where the template may start by its rarest words, and the document these stand in; a start may lie before its document."""
         rare = sorted(range(len(template)), key=lambda j: (-self.idf[template[j]], j))[:anchors]
-        return np.unique(np.concatenate([postings[template[j]] - j for j in rare]))
+        start = np.concatenate([postings[template[j]] - j for j in rare])
+        of = np.concatenate([doc[postings[template[j]]] for j in rare])
+        order = np.lexsort((of, start))
+        start, of = start[order], of[order]
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] != start[:-1]) | (of[1:] != of[:-1])
+        return start[new], of[new]
 
 
-def _fits(ids: np.ndarray, doc: np.ndarray, starts: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Which words of the template stand at their place, a row for each start; places beyond the start's document do not."""
+def _fits(ids: np.ndarray, doc: np.ndarray, starts: np.ndarray, of: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Which words of the template stand at their place, a row for each start; places outside the document `of` do not."""
     at = starts[:, None] + np.arange(len(template))
     inside = (at >= 0) & (at < len(ids))
     at = np.clip(at, 0, max(0, len(ids) - 1))
-    return inside & (ids[at] == template) & (doc[at] == doc[np.clip(starts, 0, len(ids) - 1)][:, None])
+    return inside & (ids[at] == template) & (doc[at] == of[:, None])
 
 
 def scan(data: np.ndarray, off: np.ndarray, index: Index) -> dict[str, list | np.ndarray]:
@@ -100,9 +106,10 @@ def scan(data: np.ndarray, off: np.ndarray, index: Index) -> dict[str, list | np
     base: list[set] = [set() for _ in range(n)]
     more: list[set] = [set() for _ in range(n)]
     for label, template in index.base:
-        at = index.alignments(postings, template, 1)
-        at = at[_fits(ids, doc, at, template).all(1)] if len(at) else at
-        d = doc[at]
+        at, d = index.alignments(postings, doc, template, 1)
+        if len(at):
+            whole = _fits(ids, doc, at, d, template).all(1)
+            at, d = at[whole], d[whole]
         n_base += np.bincount(d, minlength=n)
         for k, p in zip(d, at - word0[d], strict=True):
             first[k] = p if first[k] < 0 else min(first[k], p)
@@ -110,17 +117,17 @@ def scan(data: np.ndarray, off: np.ndarray, index: Index) -> dict[str, list | np
             base[k].add(label)
         score[d] = 1.0
     for label, template, keys in index.templates:
-        at = index.alignments(postings, template, ANCHORS)
+        at, of = index.alignments(postings, doc, template, ANCHORS)
         if not len(at):
             continue
         weight = index.idf[template] / index.idf[template].sum()
-        share = _fits(ids, doc, at, template) @ weight
-        for start, s in zip(at[share > 0], share[share > 0], strict=True):
-            whole = all(any(_fits(ids, doc, np.array([start + j]), key).all() for j in range(-1, len(template))) for key in keys) if s >= LEAST else False
-            k = doc[max(0, start)] if start >= 0 and start < len(doc) else doc[np.clip(start, 0, len(doc) - 1)]
+        share = np.minimum(1.0, _fits(ids, doc, at, of, template) @ weight)
+        for start, k, s in zip(at[share > 0], of[share > 0], share[share > 0], strict=True):
+            around = np.arange(start - 1, start + len(template))
+            whole = s >= LEAST and all(_fits(ids, doc, around, np.full(len(around), k), key).all(1).any() for key in keys)
             if whole:
                 more[k].add(label)
-            score[k] = max(score[k], min(1.0, s if whole else s / 2))
+            score[k] = max(score[k], s if whole else s / 2)
     return {
         "n_words": n_words, "n_base": n_base, "first_word": [None if x < 0 else int(x) for x in first], "last_word": [None if x < 0 else int(x) for x in last],
         "base_labels": [",".join(sorted(b)) for b in base], "labels": [",".join(sorted(b | m)) for b, m in zip(base, more, strict=True)], "score": score,

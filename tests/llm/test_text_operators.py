@@ -1,7 +1,10 @@
 import collections
 import hashlib
+import math
 import re
 
+import pyarrow as pa
+
 from inkplane.llm import licenses, mixing, pii
 
 BASE = {
@@ -45,6 +48,36 @@ def test_pii_base_spans_of_random_text():
         assert [x for x in pii.spans(t) if x[0] in BASE] == _base(t), t
 
 
+def test_pii_numbers_of_thousands_of_digits(spark):
+    long = "0" * 5000
+    texts = [f"{long}.1.1.1", f"1.{long}.3.4", f"1.2.{long}.4", f"1.2.3.{long}7", f"1.2.3.{long}256", "1.2.3." + "9" * 5000, "1" * 9000, "+" + "1" * 9000, "x@" + "1" * 9000 + ".de"]
+    for t in texts:
+        padded = [re.sub("0{4000,}", "0", x) for x in t.split(".")]  # the pattern's own check, within what int() takes
+        n_ip = sum(k == "ip" for k, _, _ in pii.spans(t))
+        assert n_ip == (len(padded) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in padded)), t[:20]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.find_pii(d).count() == len(texts) == pii.mask_pii(d).count()
+
+
+def test_pii_added_kinds_by_plain_patterns():
+    import random
+
+    rnd = random.Random(8)
+    parts = ["https://a.b/c", "x://", "password=abc123", "token: 'qwertyu'", "IBAN DE89370400440532013000", "iban: DE89370400440532013001", "ssn 123-45-6789", " ", "Secret", "=", "abcdefg", "SSN:", "078-05-1120", '"', "9"]
+    url, secret = re.compile(r"[A-Za-z0-9+.-]+://[^\s\"'<>]+"), re.compile(r"(?:password|passwd|secret|token|api_key|api-key|apikey)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
+    for _ in range(500):
+        t = " ".join(rnd.choice(parts) for _ in range(rnd.randrange(8)))
+        got = pii.spans(t)
+        assert [x for x in got if x[0] == "url"] == [("url", m.start(), m.end()) for m in url.finditer(t)], t
+        assert {(a, b) for k, a, b in got if k == "secret"} >= {(m.start(1), m.end(1)) for m in secret.finditer(t)}, t
+        assert all(re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t[a:b]) for k, a, b in got if k == "ssn")
+        good = {(m.start(1), m.end(1)) for m in re.finditer(r"iban:? (DE89370400440532013000)", t, re.I)}
+        found = {(a, b) for k, a, b in got if k == "iban"}
+        assert {a for a, _ in good} <= {a for a, _ in found}, t
+        for x in (t[a:b].replace(" ", "") for a, b in found):
+            assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1, t
+
+
 def test_pii_added_kinds_and_mask():
     t = "see https://a.example/b password=abc123456 IBAN DE89370400440532013000 ssn 123-45-6789."
     assert {k for k, _, _ in pii.spans(t)} >= {"url", "secret", "iban", "ssn"}
@@ -80,6 +113,60 @@ def test_license_templates(spark):
     assert got[1].labels == "gpl-3" and got[1].base_labels == "" and got[2].labels == "" and got[1].score > got[2].score
 
 
+def _licenses_by_hand(texts):
+    """Labels and score of each text, template by template and place by place."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    docs = [word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    every = {w for p in licenses.BASE for w in p.split()} | {w for _, t, _ in licenses.TEMPLATES for w in t.split()}
+    idf = {w: math.log((1 + len(docs)) / (1 + sum(w in d for d in docs))) + 1e-3 for w in every}
+    out = []
+    for d in docs:
+        stands = lambda at, words: all(0 <= at + j < len(d) and d[at + j] == w for j, w in enumerate(words))  # noqa: E731, B023
+        labels = {label for p, label in licenses.BASE.items() if any(stands(i, p.split()) for i in range(len(d)))}
+        score = 1.0 if labels else 0.0
+        for label, template, keys in licenses.TEMPLATES:
+            t = template.split()
+            rare = sorted(range(len(t)), key=lambda j: (-idf[t[j]], j))[: licenses.ANCHORS]
+            for start in {i - j for j in rare for i in range(len(d)) if d[i] == t[j]}:
+                share = sum(idf[w] for j, w in enumerate(t) if stands(start + j, [w])) / sum(idf[w] for w in t)
+                whole = share >= licenses.LEAST and all(any(stands(start + j, k.split()) for j in range(-1, len(t))) for k in keys)
+                labels |= {label} if whole else set()
+                score = max(score, share if whole else share / 2)
+        out.append((",".join(sorted(labels)), min(1.0, score)))
+    return out
+
+
+def test_licenses_are_those_of_a_plain_search_in_any_slice(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    texts = ["Licensed under the GNU General Public License version 3", "under cc by sa 4 0", "GNU Affero General Public License", "the mit license", "", None]
+    vocabulary = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}) + ["plain"]
+    for _ in range(150):
+        t = rnd.choice(licenses.TEMPLATES)[1].split()
+        a = rnd.randrange(max(1, len(t) // 3))
+        t = t[a : len(t) - rnd.randrange(3)]
+        if rnd.random() < 0.4:
+            t[rnd.randrange(len(t))] = rnd.choice(vocabulary)
+        texts.append(" ".join(rnd.choices(vocabulary, k=rnd.randrange(3)) + t + rnd.choices(vocabulary, k=rnd.randrange(3))))
+    texts += ["plain words"] * 300
+    want = _licenses_by_hand(texts)
+    assert sum(bool(w[0]) for w in want) > 30 and want[1][0] == "cc-by-sa"
+    rows = list(enumerate(texts))
+    for slice_bytes in (1, 300, 1 << 19):
+        monkeypatch.setattr(licenses.common.slices, "__defaults__", ("text", slice_bytes))
+        order = rows[:]
+        rnd.shuffle(order)
+        index = licenses.Index(*licenses.frequencies(spark.createDataFrame(rows, "doc_id long, text string")))
+        batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in order], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+        got = {}
+        for b in licenses.common.slices(iter([batch])):
+            found = licenses.scan(*licenses.common.text_bytes(b.column("text")), index)
+            got |= dict(zip(b.column("doc_id").to_pylist(), zip(found["labels"], found["score"], strict=True), strict=True))
+        for i, w in enumerate(want):
+            assert got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-9, texts[i]
+
+
 def _mix_by_hand(rows):
     size = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in rows]
     names = sorted({s for _, s, _ in size}, key=lambda s: (s is None, s or ""))
