@@ -5,8 +5,9 @@ reaches. The distinct units of the corpus become a lattice: their substrings of
 and equi-joined to the piece table, the edges that match are grouped by unit, and a higher-order aggregate folds
 them into pieces: for a unigram vocabulary by Viterbi, for a BPE vocabulary by its merges (the joined pair of
 least rank, leftmost first), since Viterbi over a BPE vocabulary's scores gives other pieces than the model does.
-Characters of no piece fall back to bytes. Units of more than LONG characters are merged by a heap instead: a
-fold's cost grows with the square of its unit.
+Characters of no piece fall back to bytes. Viterbi takes units of any length. Merges are folded up to LONG characters,
+longer units (text of thousands of letters without a space, digit or sign) go through a heap with the same result, since a
+unit's edges are one row and must fit in memory.
 
 Texts are dealt in chunks; a chunk hands on its distinct units once, packed, and gets their ids back, so no
 row stands for one word of one document. All steps are one plan over one exchange of the texts. Decoding is
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-LONG = 40
+#: Most characters of a unit whose boundaries are bits of a number; of one that a BPE vocabulary's fold takes (its edges take some 100 times
+#: its size in memory), longer ones are merged by a heap; places in a part of a Viterbi path.
+SHORT, LONG, BACK = 60, 2048, 256
 #: Bytes of text in a chunk, and in a bucket of units on average.
 CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 
@@ -52,6 +55,14 @@ class Vocabulary:
         m = proto.ModelProto()
         with open(path, "rb") as f:
             m.ParseFromString(f.read())
+        own = m.normalizer_spec
+        plain = not own.precompiled_charsmap and not own.normalization_rule_tsv and not m.denormalizer_spec.precompiled_charsmap
+        if not plain or not own.add_dummy_prefix or own.remove_extra_whitespaces or not own.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"{path}: only models that keep text as it is, with a mark before it and for each space, are supported")
+        if m.trainer_spec.model_type not in (proto.TrainerSpec.BPE, proto.TrainerSpec.UNIGRAM) or any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in m.pieces):
+            raise ValueError(f"{path}: only BPE and unigram models without pieces of the user's own are supported")
+        if sum(p.type == proto.ModelProto.SentencePiece.BYTE for p in m.pieces) != 256:
+            raise ValueError(f"{path}: only models with byte pieces are supported")
         self.bpe = m.trainer_spec.model_type == proto.TrainerSpec.BPE
         self.byte0 = next((i for i, p in enumerate(m.pieces) if p.type == proto.ModelProto.SentencePiece.BYTE), None)
         normal = [(p.piece, i, p.score) for i, p in enumerate(m.pieces) if p.type == proto.ModelProto.SentencePiece.NORMAL]
@@ -156,40 +167,110 @@ def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-_FITS = "({m} & {e}.ends) = {e}.ends AND bit_count({m} & {e}.inner) = 1"
-#: Bit of the mask that a walk sets where merges came out of order.
-_ASTRAY = "shiftleft(1L, 62)"
+class _Mask:
+    """Boundaries of a unit of up to SHORT characters as bits of a number: what is there, what a pair needs, what is left when it merges."""
 
+    whole = "(shiftleft(1L, length(unit) + 1) - 1L)"
+    #: Bit that a walk sets where it must begin anew.
+    again = "shiftleft(1L, 62)"
 
-def _fold_merges() -> str:
-    """SQL of the mask of boundaries that are left when no pair merges; `pairs` are the edges of several characters, least rank first.
+    @classmethod
+    def fits(cls, m: str, e: str) -> str:
+        return f"({m} & {e}.ends) = {e}.ends AND bit_count({m} & {e}.inner) = 1"
 
-    A bit stands for a boundary, so two neighbours make an edge if both its ends are there and one boundary between.
-    One walk along the pairs does all merges in their order, unless a merge makes a pair of lesser rank possible;
-    only an `odd` piece can be such a pair, and where one is, the walk is left and the least pair is looked for before each merge.
-    """
-    earlier = f"exists(odds, o -> (o.rank < e.rank OR (o.rank = e.rank AND o.i < e.i)) AND {_FITS.format(m='(m & ~e.inner)', e='o')})"
-    walk = f"aggregate(pairs, {_WHOLE}, (m, e) -> CASE WHEN {_FITS.format(m='m', e='e')} THEN (m & ~e.inner) | CASE WHEN {earlier} THEN {_ASTRAY} ELSE 0L END ELSE m END)"
-    least = f"get(filter(pairs, e -> {_FITS.format(m='m', e='e')}), 0).inner"
-    slow = f"aggregate(sequence(1, length(unit)), {_WHOLE}, (m, t) -> m & ~coalesce({least}, 0L))"
-    return f"get(transform(array({walk}), w -> CASE WHEN w < {_ASTRAY} THEN w ELSE {slow} END), 0)"
+    @classmethod
+    def merged(cls, m: str, e: str) -> str:
+        return f"({m} & ~{e}.inner)"
 
+    @classmethod
+    def pending(cls, m: str) -> str:
+        return f"{m} >= {cls.again}"
 
-_WHOLE = "(shiftleft(1L, length(unit) + 1) - 1L)"
+    @classmethod
+    def marked(cls, m: str, when: str) -> str:
+        return f"({m} | CASE WHEN {when} THEN {cls.again} ELSE 0L END)"
 
+    @classmethod
+    def cleared(cls, m: str) -> str:
+        return f"({m} & ~{cls.again})"
 
-def _fold_viterbi(v: Vocabulary) -> str:
-    """SQL of the mask of boundaries of the path with the largest sum of scores; a character of no piece costs more than any piece."""
-    scores = [None] * (_most(v) + 2)
-    for p, (_, _, s) in v.pieces.items():
-        if len(p) == 1:
-            scores[ord(p)] = s
-    unknown = min((p[2] for p in v.pieces.values()), default=0.0) - 10.0
-    one = f"cast(get(split('{','.join(str(unknown if s is None else s) for s in scores)}', ','), least(ascii(substring(unit, j, 1)), {_most(v) + 1})) AS double)"
-    ways = f"concat(transform(filter(edges, e -> e.i + e.n = j), e -> struct(get(s, e.i).score + e.score AS score, -e.n AS n)), array(struct(get(s, j - 1).score + {one} AS score, -1 AS n)))"
-    table = f"aggregate(sequence(1, length(unit)), array(struct(0D AS score, 0 AS n)), (s, j) -> concat(s, array(array_max({ways}))))"
-    back = "aggregate(sequence(1, length(unit)), struct(shiftleft(1L, length(unit)) AS m, length(unit) AS at), (b, t) -> CASE WHEN b.at = 0 THEN b ELSE struct(b.m | shiftleft(1L, b.at + get(s, b.at).n) AS m, b.at + get(s, b.at).n AS at) END).m"
-    return f"get(transform(array({table}), s -> {back}), 0)"
+    @classmethod
+    def one_piece(cls, e: str) -> str:
+        return f"(m & {e}.ends) = {e}.ends AND (m & {e}.inner) = 0L"
+
+    alone = "shiftright(m, i) & 3L = 3L"
+
+
+class _Bytes:
+    """The same for longer units: a byte for each boundary, '1' while it is there, behind one that says whether the walk must begin anew."""
+
+    whole = "cast(concat('0', repeat('1', length(unit) + 1)) AS binary)"
+
+    @classmethod
+    def _part(cls, m: str, e: str) -> str:
+        return f"cast(substring({m}, {e}.i + 2, {e}.n + 1) AS string)"
+
+    @classmethod
+    def fits(cls, m: str, e: str) -> str:
+        part = cls._part(m, e)
+        return f"startswith({part}, '1') AND endswith({part}, '1') AND length(replace({part}, '0', '')) = 3"
+
+    @classmethod
+    def merged(cls, m: str, e: str) -> str:
+        return f"concat(substring({m}, 1, {e}.i + 2), cast(repeat('0', {e}.n - 1) AS binary), substring({m}, {e}.i + {e}.n + 2, length({m})))"
+
+    @classmethod
+    def pending(cls, m: str) -> str:
+        return f"substring({m}, 1, 1) = cast('1' AS binary)"
+
+    @classmethod
+    def marked(cls, m: str, when: str) -> str:
+        return f"(CASE WHEN {when} THEN concat(cast('1' AS binary), substring({m}, 2, length({m}))) ELSE {m} END)"
+
+    @classmethod
+    def cleared(cls, m: str) -> str:
+        return f"concat(cast('0' AS binary), substring({m}, 2, length({m})))"
+
+    @classmethod
+    def one_piece(cls, e: str) -> str:
+        return f"{cls._part('m', e)} = concat('1', repeat('0', {e}.n - 1), '1')"
+
+    alone = "substring(m, i + 2, 2) = cast('11' AS binary)"
+
+
+def _fold_merges(kind) -> str:
+    """SQL of the boundaries that are left when no pair merges; `pairs` are the edges of several characters, least rank first.
+
+    Two neighbours make an edge if both its ends are there and one boundary between. A walk along the pairs does all
+    merges in their order, unless a merge makes a pair of lesser rank possible; only an `odd` piece can be such
+    a pair. Where one is, the walk merges no more and the next one begins at the least pair: at most one walk for each odd
+    edge, and one.
+    """
+    earlier = f"exists(odds, o -> (o.rank < e.rank OR (o.rank = e.rank AND o.i < e.i)) AND {kind.fits('r', 'o')})"
+    merge = f"get(transform(array({kind.merged('m', 'e')}), r -> {kind.marked('r', earlier)}), 0)"
+    walk = f"aggregate(pairs, {{start}}, (m, e) -> CASE WHEN {kind.pending('m')} THEN m WHEN {kind.fits('m', 'e')} THEN {merge} ELSE m END)"
+    first, next_ = walk.format(start=kind.whole), walk.format(start=kind.cleared("w"))
+    return f"aggregate(odds, {first}, (w, o) -> CASE WHEN {kind.pending('w')} THEN {next_} ELSE w END)"
+
+
+def _fold_viterbi() -> str:
+    """SQL of the path with the largest sum of scores, as edges (i, id) with those of one character; `ways` are the edges by their end.
+
+    Scores are kept of the last `longest` places only, and the way back in parts of BACK places, so a step costs the same
+    wherever in the unit it is.
+    """
+    best = "array_max(transform(get(ways, j - 1).edges, e -> struct(get(b.scores, cast(size(b.scores) - e.n AS int)) + e.score AS score, -e.n AS n, e.id AS id)))"
+    step = f"get(transform(array({best}), t -> struct(slice(concat(b.scores, array(t.score)), -least(size(b.scores) + 1, longest), longest) AS scores, concat(b.back, array(struct(-t.n AS n, t.id AS id))) AS back)), 0)"
+    empty = "cast(array() AS array<struct<n:int,id:int>>)"
+    part = f"aggregate(sequence(p, least(p + {BACK - 1}, length(unit))), struct(s.scores AS scores, {empty} AS back), (b, j) -> {step})"
+    forth = f"aggregate(sequence(1, length(unit), {BACK}), struct(array(0D) AS scores, cast(array() AS array<array<struct<n:int,id:int>>>) AS back), (s, p) -> get(transform(array({part}), x -> struct(x.scores AS scores, concat(s.back, array(x.back)) AS back)), 0)).back"
+    at = f"get(get(back, cast((c.at - 1) DIV {BACK} AS int)), cast((c.at - 1) % {BACK} AS int))"
+    walk = f"CASE WHEN c.at <= low THEN c ELSE get(transform(array({at}), g -> struct(c.at - g.n AS at, concat(c.left, array(struct(c.at - g.n AS i, g.id AS id))) AS left)), 0) END"
+    low = f"p - least(p, {BACK})"
+    none = "cast(array() AS array<struct<i:int,id:int>>)"
+    inner = f"get(transform(array({low}), low -> aggregate(sequence(low + 1, p), struct(r.at AS at, {none} AS left), (c, t) -> {walk})), 0)"
+    parts = f"aggregate(sequence(length(unit), 1, -{BACK}), struct(length(unit) AS at, cast(array() AS array<array<struct<i:int,id:int>>>) AS left), (r, p) -> get(transform(array({inner}), x -> struct(x.at AS at, concat(r.left, array(x.left)) AS left)), 0)).left"
+    return f"get(transform(array({forth}), back -> reverse(flatten({parts}))), 0)"
 
 
 def odd(piece: str, pieces: dict[str, tuple]) -> bool:
@@ -198,26 +279,49 @@ def odd(piece: str, pieces: dict[str, tuple]) -> bool:
     return any(p in pieces and pieces[p][1] >= pieces[piece][1] for p in parts)
 
 
-def lattice(units: DataFrame, v: Vocabulary, by: tuple[str, ...] = ()) -> DataFrame:
-    """(unit, ids) of distinct units (with the columns `by` that partition them)."""
+def _edges(units: DataFrame, v: Vocabulary, keys: list[str]) -> DataFrame:
+    """keys, i, n, piece and, where the piece is in the table, its id, rank, score and whether it is odd: all substrings of bounded length."""
     spark = units.sparkSession
     table = spark.createDataFrame(pa.table({"piece": list(v.pieces), "id": pa.array([p[0] for p in v.pieces.values()], pa.int32()), "rank": pa.array([p[1] for p in v.pieces.values()], pa.int32()), "score": [p[2] for p in v.pieces.values()], "odd": [odd(p, v.pieces) for p in v.pieces]}))
-    keys = ["unit", *by]
     cut = units.select(*keys, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
     cut = cut.select(*keys, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("unit") - F.col("i")))).alias("n"))
     cut = cut.withColumn("piece", F.substring(F.col("unit"), F.col("i") + 1, F.col("n")))
-    met = cut.where("n > 1 OR i = 0").join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR n = 1")  # n = 1: every unit stays
+    return cut.where("n > 1 OR i = 0" if v.bpe else "true").join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR n = 1")  # n = 1: every unit stays
+
+
+def lattice(units: DataFrame, v: Vocabulary, by: tuple[str, ...] = ()) -> DataFrame:
+    """(unit, ids) of distinct units (with the columns `by` that partition them); of a BPE vocabulary those of up to LONG characters."""
+    keys = ["unit", *by]
+    if not v.bpe:
+        return _unigram(units, v, keys)
+    short = _merged(units.where(F.length("unit") <= SHORT), v, keys, _Mask)
+    return short.unionByName(_merged(units.where((F.length("unit") > SHORT) & (F.length("unit") <= LONG)), v, keys, _Bytes))
+
+
+def _merged(units: DataFrame, v: Vocabulary, keys: list[str], kind) -> DataFrame:
     ends, inner = F.expr("shiftleft(1L, i) | shiftleft(1L, i + n)"), F.expr("shiftleft(shiftleft(1L, n - 1) - 1L, i + 1)")
-    edge = F.struct("rank", "i", inner.alias("inner"), ends.alias("ends"), "id", *(["odd"] if v.bpe else ["n", "score"]))
-    edges = met.groupBy(*keys).agg(F.collect_list(F.when(F.col("n") > 1, edge)).alias("edges"))
-    if v.bpe:
-        edges = edges.withColumn("pairs", F.array_sort("edges")).withColumn("odds", F.filter("pairs", lambda e: e["odd"]))
-    fold = _fold_merges() if v.bpe else _fold_viterbi(v)
-    folded = edges.select(*keys, "edges", F.expr(fold).alias("m"))
-    long = "transform(filter(edges, e -> (m & e.ends) = e.ends AND (m & e.inner) = 0L), e -> struct(e.i AS i, e.id AS id))"
-    alone = F.transform(F.expr("filter(sequence(0, length(unit) - 1), i -> shiftright(m, i) & 3L = 3L)"), lambda i: F.struct(i.alias("i"), F.get(_chars(v), F.least(F.ascii(F.call_function("substring", F.col("unit"), i + 1, F.lit(1))), F.lit(_most(v) + 1))).alias("id")))
-    left = folded.select(*keys, F.array_sort(F.concat(F.expr(long), alone)).alias("left"))
-    bytes_ = f"transform(sequence(1, octet_length(c)), j -> {v.byte0 or 0} + cast(conv(substring(hex(encode(c, 'UTF-8')), 2 * j - 1, 2), 16, 10) AS int))"
+    edge = F.struct("rank", "i", *([inner.alias("inner"), ends.alias("ends")] if kind is _Mask else ["n"]), "id", "odd")
+    edges = _edges(units, v, keys).groupBy(*keys).agg(F.collect_list(F.when(F.col("n") > 1, edge)).alias("edges"))
+    edges = edges.withColumn("pairs", F.array_sort("edges")).withColumn("odds", F.filter("pairs", lambda e: e["odd"]))
+    folded = edges.select(*keys, "edges", F.expr(_fold_merges(kind)).alias("m"))
+    long = f"transform(filter(edges, e -> {kind.one_piece('e')}), e -> struct(e.i AS i, e.id AS id))"
+    alone = F.transform(F.expr(f"filter(sequence(0, length(unit) - 1), i -> {kind.alone})"), lambda i: F.struct(i.alias("i"), F.get(_chars(v), F.least(F.ascii(F.call_function("substring", F.col("unit"), i + 1, F.lit(1))), F.lit(_most(v) + 1))).alias("id")))
+    return _ids(folded.select(*keys, F.array_sort(F.concat(F.expr(long), alone)).alias("left")), v, keys)
+
+
+def _unigram(units: DataFrame, v: Vocabulary, keys: list[str]) -> DataFrame:
+    """By Viterbi; a character of no piece costs more than any piece."""
+    unknown = min((p[2] for p in v.pieces.values()), default=0.0) - 10.0
+    edge = F.struct("n", F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    by_end = _edges(units, v, keys).groupBy(*keys, (F.col("i") + F.col("n")).alias("end")).agg(F.collect_list(edge).alias("edges"))
+    ways = by_end.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ways"))
+    left = ways.withColumn("longest", F.lit(v.longest)).select(*keys, F.expr(_fold_viterbi()).alias("left"))
+    return _ids(left, v, keys)
+
+
+def _ids(left: DataFrame, v: Vocabulary, keys: list[str]) -> DataFrame:
+    """Ids of the edges that are left; characters of no piece (id -1) as bytes."""
+    bytes_ = f"transform(sequence(1, octet_length(c)), j -> {v.byte0} + cast(conv(substring(hex(encode(c, 'UTF-8')), 2 * j - 1, 2), 16, 10) AS int))"
     fallback = f"flatten(transform(array(substring(unit, e.i + 1, 1)), c -> {bytes_}))"
     ids = f"CASE WHEN exists(left, e -> e.id < 0) THEN flatten(transform(left, e -> CASE WHEN e.id >= 0 THEN array(e.id) ELSE {fallback} END)) ELSE transform(left, e -> e.id) END"
     return left.select(*keys, F.expr(ids).alias("ids"))
@@ -366,17 +470,17 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ())
     by_chunk = dealt.groupBy("chunk")
     lists = by_chunk.applyInArrow(hold, "bucket long, chunk long, packed binary")
     units = lists.groupBy("bucket").applyInArrow(distinct, "bucket long, unit string").repartition(max(parts, chunks // 4), "bucket", "unit")
-    short, long = units.where(F.length("unit") <= LONG), units.where(F.length("unit") > LONG)
-    known = lattice(short, v, ("bucket",))
-    known = known.unionByName(long.mapInArrow(merge, "bucket long, unit string, ids array<int>") if v.bpe else lattice(long, v, ("bucket",)))
+    known = lattice(units, v, ("bucket",))
+    if v.bpe:
+        known = known.unionByName(units.where(F.length("unit") > LONG).mapInArrow(merge, "bucket long, unit string, ids array<int>"))
     replies = lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "bucket long, chunk long, packed binary")
     return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(finish, ", ".join(f"{c} {k}" for c, k in [("doc_id", "long"), *[x for x in d.dtypes if x[0] in keep], ("ids", "array<int>")]))
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids, and the SHA-256 of the text that decoding them gives."""
+def encoded(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_pieces, ids, and the SHA-256 of the text that decoding them gives, with the columns `keep` of docs."""
     v = vocabulary(path or default_model())
-    return encode(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(decode(F.col("ids"), v).cast("binary"), 256).alias("decoded_sha256"))
+    return encode(docs, path, keep).select("doc_id", *keep, F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(decode(F.col("ids"), v).cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
