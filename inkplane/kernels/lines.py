@@ -10,12 +10,9 @@ import numpy as np
 from . import raster
 from .shapes import fit_circle
 
-_NEAR = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
-
-
 @dataclass
 class Graph:
-    """Paths as arrays of pixels from end to end; degree of the pixel graph and distance to the background at each pixel."""
+    """Paths as arrays of pixels from end to end; degree of the pixel graph (of pixels that have not two neighbours) and distance to the background at each pixel."""
 
     paths: list[np.ndarray]
     degree: dict[tuple[int, int], int]
@@ -27,165 +24,218 @@ class Graph:
         return 2 * self.dist[p[:, 0], p[:, 1]].astype(float)
 
     def length(self, k: int) -> float:
-        return float(np.hypot(*np.diff(self.paths[k], axis=0).T).sum()) if len(self.paths[k]) > 1 else 0.0
+        return _length(self.paths[k])
 
 
-def branches(skeleton: np.ndarray) -> tuple[list[np.ndarray], dict[tuple[int, int], int]]:
-    """Branches between pixels that have not two neighbours, and rings. A diagonal step counts only where no straight way leads around it."""
-    on = {(int(y), int(x)) for y, x in zip(*np.nonzero(skeleton), strict=True)}
-
-    def near(p):
-        y, x = p
-        out = []
-        for dy, dx in _NEAR:
-            q = (y + dy, x + dx)
-            if q in on and not (dy and dx and ((y + dy, x) in on or (y, x + dx) in on)):
-                out.append(q)
-        return out
-
-    links = {p: near(p) for p in sorted(on)}
-    degree = {p: len(q) for p, q in links.items()}
-    out, used = [], set()
-    for start in [p for p in links if degree[p] != 2]:
-        for to in links[start]:
-            if (start, to) in used:
-                continue
-            walk = [start, to]
-            while degree[walk[-1]] == 2:
-                a, b = links[walk[-1]]
-                walk.append(b if a == walk[-2] else a)
-            used |= {(walk[0], walk[1]), (walk[-1], walk[-2])}
-            out.append(np.array(walk))
-    left = {p for p in links if degree[p] == 2} - {tuple(p) for b in out for p in b.tolist()}
+def _length(p: np.ndarray) -> float:
+    return float(np.hypot(*np.diff(p, axis=0).T).sum()) if len(p) > 1 else 0.0
+
+
+@dataclass
+class Links:
+    """A pixel graph: places of its pixels, and its edges, each once."""
+
+    at: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+    def degree(self) -> np.ndarray:
+        return np.bincount(self.a, minlength=len(self.at)) + np.bincount(self.b, minlength=len(self.at))
+
+
+def links_of(skeleton: np.ndarray) -> Links:
+    """Neighbouring pixels. A diagonal step counts only where no straight way leads around it."""
+    h, w = skeleton.shape
+    pad = np.zeros((h + 2, w + 2), bool)
+    pad[1:-1, 1:-1] = skeleton > 0
+    at = np.argwhere(pad)
+    number = np.zeros(pad.shape, np.int64)
+    number[at[:, 0], at[:, 1]] = np.arange(len(at))
+    a, b = [], []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        y, x = at[:, 0] + dy, at[:, 1] + dx
+        there = pad[y, x]
+        if dy and dx:
+            there &= ~pad[at[:, 0], x] & ~pad[y, at[:, 1]]
+        a.append(np.flatnonzero(there))
+        b.append(number[y[there], x[there]])
+    return Links(at - 1, np.concatenate(a), np.concatenate(b))
+
+
+def walk(g: Links) -> list[np.ndarray]:
+    """Branches, as pixel numbers, between pixels that have not two neighbours, and rings from their smallest pixel.
+
+    All branches at once: each directed edge looks for the one its branch begins with, twice as far in each step.
+    """
+    m, degree = len(g.a), g.degree()
+    src, dst = np.r_[g.a, g.b], np.r_[g.b, g.a]
+    back = np.r_[np.arange(m, 2 * m), np.arange(m)]
+    # the edge that leads on to each one: the other one out of its source, turned around
+    first, second = np.zeros(len(degree), np.int64), np.zeros(len(degree), np.int64)
+    first[src[::-1]] = np.arange(2 * m)[::-1]
+    second[src] = np.arange(2 * m)
+    passed = degree[src] == 2
+    before = np.where(passed, back[np.where(first[src] == np.arange(2 * m), second[src], first[src])], np.arange(2 * m))
+    up, far = before.copy(), passed.astype(np.int64)
+    while True:
+        on = up != up[up]
+        if not on.any() or far.max() > 4 * m:
+            break
+        far = far + np.where(on, far[up], 0)
+        up = up[up]
+    ended = ~passed[up]
+    edges = np.flatnonzero(ended)
+    edges = edges[np.lexsort((far[edges], up[edges]))]
+    cuts = np.flatnonzero(np.r_[True, up[edges][1:] != up[edges][:-1], True]) if len(edges) else [0]
+    out = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        own = edges[i:j]
+        if own[0] <= back[own[-1]]:  # each branch once, not from both its ends
+            out.append(np.r_[src[own[0]], dst[own]])
+    out.sort(key=lambda p: (int(min(p[0], p[-1])), int(p[1])))
+    left = set(src[~ended].tolist())
     while left:
-        walk = [min(left)]
-        walk.append(links[walk[0]][0])
-        while walk[-1] != walk[0]:
-            a, b = links[walk[-1]]
-            walk.append(b if a == walk[-2] else a)
-        left -= set(walk)
-        out.append(np.array(walk))
-    return out, degree
+        start = min(left)
+        ring, e = [start], first[start]
+        while dst[e] != start:
+            ring.append(int(dst[e]))
+            e = second[dst[e]] if back[e] == first[dst[e]] else first[dst[e]]
+        left -= set(ring)
+        out.append(np.array([*ring, start]))
+    return out
+
+
+def branches(skeleton: np.ndarray) -> tuple[list[np.ndarray], dict[tuple[int, int], int]]:
+    """Branches as pixels, and the degrees of pixels that have not two neighbours."""
+    g = links_of(skeleton)
+    return [g.at[p] for p in walk(g)], _degrees(g)
+
+
+def _degrees(g: Links) -> dict[tuple[int, int], int]:
+    d = g.degree()
+    other = np.flatnonzero(d != 2)
+    return dict(zip(map(tuple, g.at[other].tolist()), d[other].tolist(), strict=True))
 
 
 def prune(skeleton: np.ndarray, dist: np.ndarray, rounds: int = 10) -> np.ndarray:
     """The skeleton without spurs: branches from a junction to a free end that are no longer than the line is thick at the junction."""
     skeleton = skeleton.copy()
     for _ in range(rounds):
-        parts, degree = branches(skeleton)
-        gone = False
-        for b in parts:
-            ends = [tuple(b[0].tolist()), tuple(b[-1].tolist())]
-            free = [degree[e] == 1 for e in ends]
-            if sum(free) == 1 and degree[ends[free.index(False)]] >= 3:
-                node = ends[free.index(False)]
-                if np.hypot(*np.diff(b, axis=0).T).sum() <= 2 * dist[node]:
-                    keep = b[1:] if tuple(b[0].tolist()) == node else b[:-1]
-                    skeleton[keep[:, 0], keep[:, 1]] = 0
-                    gone = True
+        g = links_of(skeleton)
+        degree = g.degree()
+        gone = []
+        for p in walk(g):
+            for node, free in ((p[0], p[-1]), (p[-1], p[0])):
+                if degree[free] == 1 and degree[node] >= 3 and _length(g.at[p]) <= 2 * dist[tuple(g.at[node])]:
+                    gone.append(p[p != node])
         if not gone:
             break
+        y, x = g.at[np.concatenate(gone)].T
+        skeleton[y, x] = 0
     return skeleton
 
 
-def _merge_close(parts: list[np.ndarray], degree: dict, dist: np.ndarray) -> tuple[list[np.ndarray], dict]:
-    """Junctions joined by a branch with no more inner pixels than their distances become one: the pixel nearest to their centre."""
-    root: dict = {}
-
-    def find(p):
-        while root.setdefault(p, p) != p:
-            p = root[p]
-        return p
-
-    rest = []
-    for b in parts:
-        p, q = tuple(b[0].tolist()), tuple(b[-1].tolist())
-        if degree.get(p, 0) >= 3 and degree.get(q, 0) >= 3 and p != q and len(b) - 2 <= math.ceil(dist[p]) + math.ceil(dist[q]):
-            a, c = find(p), find(q)
-            root[max(a, c)] = min(a, c)
-        else:
-            rest.append(b)
-    groups: dict = {}
-    for p in root:
-        groups.setdefault(find(p), []).append(p)
-    rep = {}
-    for g in groups.values():
-        m = np.mean(g, axis=0)
-        best = min(g, key=lambda p: (round((p[0] - m[0]) ** 2 + (p[1] - m[1]) ** 2, 9), p))
-        rep |= dict.fromkeys(g, best)
-    out = []
-    for b in rest:
-        p, q = rep.get(tuple(b[0].tolist()), tuple(b[0].tolist())), rep.get(tuple(b[-1].tolist()), tuple(b[-1].tolist()))
-        b = b.copy()
-        b[0], b[-1] = p, q
-        if len(b) > 2 or p != q:
-            out.append(b)
-    count: dict = {}
-    for b in out:
-        for e in (b[0], b[-1]):
-            count[tuple(e.tolist())] = count.get(tuple(e.tolist()), 0) + 1
-    return out, degree | count
-
-
-def _without_duplicates(parts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """Branches but those of two pixels beside another one with the same ends."""
-    key = lambda b: tuple(sorted((tuple(b[0].tolist()), tuple(b[-1].tolist()))))
-    n: dict = {}
-    for b in parts:
-        n[key(b)] = n.get(key(b), 0) + 1
-    out = [b for b in parts if len(b) > 2 or n[key(b)] == 1]
-    return out, len(parts) - len(out)
+def without_duplicates(g: Links) -> tuple[Links, int]:
+    """The graph without edges that are a branch of their own beside another branch with the same ends; how many there were."""
+    parts = walk(g)
+    ends = np.sort(np.array([(p[0], p[-1]) for p in parts]).reshape(-1, 2), axis=1)
+    _, group, n = np.unique(ends, axis=0, return_inverse=True, return_counts=True)
+    twice = np.array([len(p) == 2 for p in parts], bool) & (n[group.ravel()] > 1)
+    gone = {tuple(e) for e in ends[twice].tolist()}
+    keep = np.array([tuple(sorted(e)) not in gone for e in zip(g.a.tolist(), g.b.tolist(), strict=True)], bool) if gone else np.ones(len(g.a), bool)
+    return Links(g.at, g.a[keep], g.b[keep]), int((~keep).sum())
+
+
+def merge_close(g: Links, dist: np.ndarray) -> Links:
+    """Junctions joined by a branch with no more inner pixels than their distances become one, with those pixels: the pixel nearest to their centre."""
+    degree, spot = g.degree(), np.ceil(dist[g.at[:, 0], g.at[:, 1]])
+    near = [p for p in walk(g) if p[0] != p[-1] and degree[p[0]] >= 3 and degree[p[-1]] >= 3 and len(p) - 2 <= spot[p[0]] + spot[p[-1]]]
+    if not near:
+        return g
+    group = raster.united(len(g.at), np.concatenate([p[:-1] for p in near]), np.concatenate([p[1:] for p in near]))
+    members = np.unique(np.concatenate(near))
+    members = members[np.argsort(group[members], kind="stable")]
+    rep = np.arange(len(g.at))
+    for own in np.split(members, np.flatnonzero(np.diff(group[members])) + 1):
+        rep[own] = own[np.argmin(((g.at[own] - g.at[own].mean(0)) ** 2).sum(1))]
+    ends = np.sort(np.column_stack([rep[g.a], rep[g.b]]), axis=1)
+    ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+    return Links(g.at, ends[:, 0], ends[:, 1])
 
 
 def turning_angles(p: np.ndarray, k: int) -> np.ndarray:
-    """Turns in degrees between chords of k steps."""
-    c = np.diff(p[::k] if k > 1 else p, axis=0).astype(float)
+    """Degrees by which the chord of k steps from each pixel turns against the one k pixels before it."""
+    c = (p[k:] - p[:-k]).astype(float)
     c /= np.maximum(np.hypot(c[:, 0], c[:, 1]), 1e-12)[:, None]
-    return np.degrees(np.arccos(np.clip((c[:-1] * c[1:]).sum(1), -1, 1)))
+    return np.degrees(np.arccos(np.clip((c[k:] * c[:-k]).sum(1), -1, 1)))
 
 
-def hook_length(turns: np.ndarray, limit: float = 15.0) -> int:
-    """Leading chords that turn more than a limit."""
-    straight = np.flatnonzero(turns <= limit)
-    return int(straight[0]) if len(straight) else len(turns)
+def hook_length(turns: np.ndarray, k: int, limit: float = 15.0) -> int | None:
+    """Leading pixels that a path bends by: up to the first k turns in a row that exceed the median by no more than the limit; None if its first half has none."""
+    calm = turns <= np.median(turns) + limit
+    if len(calm) < k:
+        return None
+    calm = np.lib.stride_tricks.sliding_window_view(calm, k).all(1)[: max(1, len(turns) // 2)]
+    if not calm.any():
+        return None
+    first = int(calm.argmax())
+    return first + k if first else 0
 
 
-def end_direction(p: np.ndarray, at_end: bool, k: int) -> np.ndarray:
-    """Outward unit direction at an end of a path: the main axis of up to 3k pixels behind its hook; zero of a single pixel."""
-    q = p[::-1] if at_end else p
-    q = q[min(hook_length(turning_angles(q[: 6 * k], k)) * k, max(0, len(q) - 3 * k)) :][: 3 * k].astype(float)
+def main_axis(q: np.ndarray) -> np.ndarray:
+    """Unit direction of the main axis of pixels, from the first towards the last; zero of a single pixel."""
     if len(q) < 2:
         return np.zeros(2)
+    q = q.astype(float)
     _, _, axes = np.linalg.svd(q - q.mean(0), full_matrices=False)
-    d = axes[0] * np.sign(axes[0] @ (q[0] - q[-1]) or 1)
+    return axes[0] * np.sign(axes[0] @ (q[-1] - q[0]) or 1)
+
+
+def end_direction(p: np.ndarray, at_end: bool, k: int) -> np.ndarray:
+    """Outward unit direction at an end of a path: the main axis of 3k pixels behind its hook, of the whole path if it is shorter; zero of a single pixel."""
+    q = p[::-1] if at_end else p
+    hook = hook_length(turning_angles(q, k), k) if len(q) >= 3 * k else None
+    return -main_axis(q if hook is None else q[hook : hook + 3 * k])
+
+
+def out_direction(p: np.ndarray, at_end: bool, steps: int = 4) -> np.ndarray:
+    """Outward unit direction at an end of a path, by the pixel some steps before it."""
+    q = p if at_end else p[::-1]
+    d = (q[-1] - q[max(0, len(q) - 1 - steps)]).astype(float)
     return d / max(np.hypot(*d), 1e-12)
 
 
-def _pairs(parts: list[np.ndarray], degree: dict, dist: np.ndarray, kink: float, tol: float) -> dict:
+def arc_degrees(p: np.ndarray, r: float) -> float:
+    """Angle that a path's length takes on a circle."""
+    return math.degrees(_length(p) / r)
+
+
+def _pairs(parts: list[np.ndarray], degree: dict, dist: np.ndarray, kink: float, tol: float, k: int) -> dict:
     """Which ends continue each other at their node: on one circle first, then the straightest; each end once."""
     at: dict = {}
     for i, b in enumerate(parts):
         for side, e in enumerate((b[0], b[-1])):
             at.setdefault(tuple(e.tolist()), []).append((i, side))
     links: dict = {}
+    circles: dict = {}
     for node, ends in at.items():
-        if degree.get(node, 0) < 3:
+        if degree.get(node, 2) < 3:
             continue
-        stub = lambda e: degree.get(tuple(parts[e[0]][0 if e[1] else -1].tolist()), 0) == 1 and np.hypot(*np.diff(parts[e[0]], axis=0).T).sum() <= 2 * dist[node]  # noqa: B023, E731
+        stub = lambda e: degree.get(tuple(parts[e[0]][0 if e[1] else -1].tolist()), 2) == 1 and _length(parts[e[0]]) <= 2 * dist[node]  # noqa: B023, E731
         ends = [e for e in ends if not stub(e)]
         shape = {}
         for i, side in ends:
-            t = 2 * dist[parts[i][:, 0], parts[i][:, 1]]
-            k = max(2, int(np.rint(np.percentile(t, 25) / 2)))
-            q = parts[i][::-1] if side else parts[i]
-            shape[i, side] = end_direction(parts[i], bool(side), k), fit_circle(q[: 12 * k, ::-1])
+            if i not in circles:
+                c, r, err = fit_circle(parts[i][:, ::-1])
+                circles[i] = (c, r) if np.isfinite(r) and err <= 0.05 and arc_degrees(parts[i], r) >= 30 else (c, np.inf)
+            shape[i, side] = end_direction(parts[i], bool(side), k), circles[i]
         options = []
         for n, a in enumerate(ends):
             for b in ends[n + 1 :]:
-                (da, (ca, ra, ea)), (db, (cb, rb, eb)) = shape[a], shape[b]
+                (da, (ca, ra)), (db, (cb, rb)) = shape[a], shape[b]
                 dot = float(da @ db)
                 limit = tol * (ra + rb) / 2
-                same = np.isfinite(ra) and np.isfinite(rb) and max(ea, eb) <= 0.05 and np.hypot(*(ca - cb)) <= limit and abs(ra - rb) <= limit
+                same = np.isfinite(limit) and np.hypot(*(ca - cb)) <= limit and abs(ra - rb) <= limit
                 if same or (da.any() and db.any() and dot <= -math.cos(math.radians(kink))):
                     options.append((-1.0 if same else math.degrees(math.acos(max(-1.0, min(1.0, -dot)))), a, b))
         for _, a, b in sorted(options, key=lambda o: o[0]):
@@ -232,34 +282,61 @@ def level_cuts(t: np.ndarray, ratio: float = 1.3, min_len: int = 3) -> list[int]
     return sorted(out)
 
 
-def junction_free(t: np.ndarray, deg: np.ndarray) -> np.ndarray:
-    """A profile with the surroundings of junctions (half the thickness there) bridged by straight lines; all spots: unchanged."""
+def junction_spots(t: np.ndarray, deg: np.ndarray) -> np.ndarray:
+    """Surroundings of the junctions of a profile: half the thickness there."""
     spot = np.zeros(len(t), bool)
     for i in np.flatnonzero(deg >= 3):
         r = math.ceil(t[i] / 2)
         spot[max(0, i - r) : i + r + 1] = True
+    return spot
+
+
+def junction_free(t: np.ndarray, deg: np.ndarray) -> np.ndarray:
+    """A profile with the surroundings of junctions bridged by straight lines; all spots: unchanged."""
+    spot = junction_spots(t, deg)
     good = np.flatnonzero(~spot)
     return t if not len(good) else np.where(spot, np.interp(np.arange(len(t)), good, t[good]), t)
 
 
+def branch_cuts(t: np.ndarray, spot: np.ndarray, lasts: np.ndarray, ratio: float = 1.3) -> list[int]:
+    """Inner places of a chain's profile between branches (with their last places) where a branch's level, off the spots, differs from the rest of the chain by more than a ratio."""
+    logs = np.where(spot, 0.0, np.log(np.maximum(t, 1.0)))
+    total, count = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum(~spot)]
+    a, b = np.r_[0, lasts[:-1]], np.asarray(lasts)
+    own, n = total[b + 1] - total[a], count[b + 1] - count[a]
+    rest, m = total[-1] - own, count[-1] - n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = (n > 0) & (m > 0) & (np.abs(own / n - rest / m) > math.log(ratio))
+    cuts = set(a[apart].tolist()) | set(b[apart].tolist())
+    return sorted(cuts - {0, len(t) - 1})
+
+
 def build(mask: np.ndarray, dist: np.ndarray, max_kink_deg: float = 20.0, tol: float = 0.1, ratio: float = 1.3, spurs: bool = True) -> Graph:
     """The line graph of ink: thinned, pruned, close junctions merged, branches chained across junctions and cut where the thickness changes."""
     skeleton = raster.thin(mask)
     if spurs:
         skeleton = prune(skeleton, dist)
-    parts, degree = branches(skeleton)
-    parts, dropped = _without_duplicates(parts)
-    parts, degree = _merge_close(parts, degree, dist)
+    if not skeleton.any():
+        return Graph([], {}, dist)
+    width = max(2, round(float(np.percentile(2 * dist[skeleton > 0], 25)) / 2))
+    g, dropped = without_duplicates(links_of(skeleton))
+    g = merge_close(g, dist)
+    parts, degree, degrees = [g.at[p] for p in walk(g)], _degrees(g), g.degree()
+    number = {tuple(p): d for p, d in zip(g.at.tolist(), degrees.tolist(), strict=True)}
     paths = []
-    for chain in chains(len(parts), _pairs(parts, degree, dist, max_kink_deg, tol)):
+    for chain in chains(len(parts), _pairs(parts, degree, dist, max_kink_deg, tol, width)):
         turned = [parts[i][::-1] if back else parts[i] for i, back in chain]
         p = np.concatenate([turned[0], *[b[1:] for b in turned[1:]]])
         t = 2 * dist[p[:, 0], p[:, 1]].astype(float)
-        deg = np.array([degree.get(tuple(q), 2) for q in p.tolist()])
-        cuts = level_cuts(junction_free(t, deg), ratio)
-        for a, b in zip([0, *cuts], [*cuts, len(p) - 1], strict=True):
-            if b > a:
-                paths.append(p[a : b + 1])
+        deg = np.array([number[q] for q in map(tuple, p.tolist())])
+        flat, spot = junction_free(t, deg), junction_spots(t, deg)
+        lasts = np.cumsum([len(b) - 1 for b in turned])
+        nodes = [0, *branch_cuts(flat, spot, lasts, ratio), len(p) - 1]
+        cuts = {0, len(p) - 1}
+        for a, b in zip(nodes[:-1], nodes[1:], strict=True):
+            cuts |= {b} | {a + c for c in level_cuts(flat[a : b + 1], ratio)}
+        cuts = sorted(cuts)
+        paths += [p[a : b + 1] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return Graph(paths, degree, dist, dropped)
 
 
@@ -281,7 +358,8 @@ class Classes:
 def classify(g: Graph, shape: tuple[int, int], t_c: float | None, frame_span: float = 0.9, prominence: float = 0.05, bandwidth: float = 0.05, max_kink_deg: float = 30.0, points: int = 600) -> Classes:
     """Thick paths lie above the valley below the density peak nearest to the contour's thickness; without a valley all are thick. Frames are left out of the density."""
     n = len(g.paths)
-    level = np.array([math.exp(np.mean(np.log(np.maximum(g.thickness(k), 1)))) for k in range(n)])
+    flat = [junction_free(g.thickness(k), np.array([g.degree.get(q, 2) for q in map(tuple, p.tolist())])) for k, p in enumerate(g.paths)]
+    level = np.array([math.exp(np.mean(np.log(np.maximum(t, 1)))) for t in flat])
     length = np.array([g.length(k) for k in range(n)])
     frame = np.array([np.ptp(p[:, 0]) >= frame_span * shape[0] or np.ptp(p[:, 1]) >= frame_span * shape[1] for p in g.paths], bool)
     use = ~frame if (~frame).any() else np.ones(n, bool)
@@ -316,16 +394,18 @@ def _bridges(g: Graph, thick: np.ndarray, level: np.ndarray, length: np.ndarray,
             at.setdefault(tuple(e.tolist()), []).append((i, side))
     out = np.zeros(len(g.paths), bool)
     for i in np.flatnonzero(~thick):
-        met = [[(j, s) for j, s in at[tuple(e.tolist())] if thick[j]] for e in (g.paths[i][0], g.paths[i][-1])]
-        if not all(met):
+        p = g.paths[i]
+        met = [[(j, s) for j, s in at[tuple(e.tolist())] if j != i and thick[j]] for e in (p[0], p[-1])]
+        if not all(met) or len(p) >= 3 * np.median([level[j] for ends in met for j, _ in ends]):
             continue
-        ahead = any(end_direction(g.paths[i], bool(side), 4) @ end_direction(g.paths[j], bool(s), 4) <= -math.cos(math.radians(kink)) for side, ends in enumerate(met) for j, s in ends)
-        out[i] = ahead and length[i] < 3 * np.median([level[j] for ends in met for j, _ in ends])
+        out[i] = any(out_direction(p, bool(side)) @ out_direction(g.paths[j], bool(s)) <= -math.cos(math.radians(kink)) for side, ends in enumerate(met) for j, s in ends)
     return out
 
 
-def trim(path: np.ndarray, covered: np.ndarray, free: tuple[bool, bool], short: int) -> tuple[int, int] | None:
-    """From and to of what is left when a path's free ends are cut back to pixels no arrow covers; None if nothing is. Short gaps count as covered."""
+def trim(path: np.ndarray, covered: np.ndarray, free: tuple[bool, bool], short: float) -> tuple[int, int] | None:
+    """From and to of what is left when a path's free ends are cut back to pixels no arrow covers; None if nothing is. Short gaps count as covered, if anything is."""
+    if not covered.any():
+        return 0, len(path)
     on = covered.copy()
     edges = np.flatnonzero(np.diff(np.r_[0, (~on).astype(int), 0]))
     for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -337,11 +417,12 @@ def trim(path: np.ndarray, covered: np.ndarray, free: tuple[bool, bool], short:
     return (int(left[0]) if free[0] else 0), (int(left[-1]) + 1 if free[1] else len(path))
 
 
-def paint(shape: tuple[int, int], g: Graph, keep: np.ndarray) -> np.ndarray:
-    """Strokes of kept paths, each as wide as twice its median distance."""
+def paint(shape: tuple[int, int], g: Graph, keep: np.ndarray, spans: np.ndarray | None = None) -> np.ndarray:
+    """Strokes of kept paths (of their spans a to b), each as wide as twice its median distance."""
     from .shapes import draw_line
 
     out = np.zeros(shape, np.uint8)
     for k in np.flatnonzero(keep):
-        draw_line(out, g.paths[k][:, ::-1], math.ceil(float(np.median(g.thickness(k)))) + 1)
+        a, b = (0, len(g.paths[k])) if spans is None else spans[k]
+        draw_line(out, g.paths[k][a:b, ::-1], math.ceil(float(np.median(g.thickness(k)[a:b]))) + 1)
     return out

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise in the plane of x to the right and y up, from the smallest point."""
-    p = sorted(map(tuple, np.unique(np.asarray(points), axis=0)))
+    p = np.asarray(points)
+    if len(p) > 64:  # of points on a row only the outer two can be corners
+        p = p[np.lexsort((p[:, 0], p[:, 1]))]
+        new = np.flatnonzero(np.r_[True, p[1:, 1] != p[:-1, 1]])
+        p = p[np.r_[new, new[1:] - 1, len(p) - 1]]
+    p = sorted(set(map(tuple, p.tolist())))
     if len(p) < 3:
         return np.array(p)
 
@@ -98,18 +105,60 @@ def fill_convex(shape: tuple[int, int], poly: np.ndarray) -> np.ndarray:
     x1, y1 = np.minimum(np.floor(p.max(0) + 1e-9), [shape[1] - 1, shape[0] - 1]).astype(int)
     if x1 < x0 or y1 < y0:
         return out
-    yy, xx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
-    d = np.roll(p, -1, 0) - p
-    side = np.stack([dx * (yy - y) - dy * (xx - x) for (dx, dy), (x, y) in zip(d, p, strict=True)])
-    out[y0 : y1 + 1, x0 : x1 + 1] = np.where((side >= -1e-9).all(0) | (side <= 1e-9).all(0), 255, 0)
+    # each side bounds every row on one end: d_x (y - p_y) - d_y (x - p_x) has the sign of the turn, or is 0
+    turn = np.sign((p[:, 0] * np.roll(p[:, 1], -1) - p[:, 1] * np.roll(p[:, 0], -1)).sum()) or 1.0
+    rows = np.arange(y0, y1 + 1)
+    lo, hi = np.full(len(rows), float(x0)), np.full(len(rows), float(x1))
+    for (px, py), (dx, dy) in zip(p, turn * (np.roll(p, -1, 0) - p), strict=True):
+        room = dx * (rows - py) + 1e-9
+        if dy > 0:
+            hi = np.minimum(hi, px + room / dy)
+        elif dy < 0:
+            lo = np.maximum(lo, px + room / dy)
+        else:
+            hi = np.where(room < 0, -1.0, hi)
+    a, b = np.ceil(lo - 1e-9).astype(int), np.floor(hi + 1e-9).astype(int)
+    step = np.zeros((len(rows), x1 - x0 + 2), np.int8)
+    some = np.flatnonzero(b >= a)
+    step[some, a[some] - x0] = 1
+    step[some, b[some] - x0 + 1] = -1
+    out[y0 : y1 + 1, x0 : x1 + 1] = np.where(np.cumsum(step, axis=1, dtype=np.int8)[:, :-1] > 0, 255, 0)
     return out
 
 
-def draw_line(out: np.ndarray, points: np.ndarray, width: int) -> np.ndarray:
-    """Paints a polyline with round ends: pixels no farther than half the width."""
+def stamp(out: np.ndarray, centres: np.ndarray, r: float) -> None:
+    """Paints all pixels no farther than r from centres (x, y) on pixels or halfway between two neighbours in a diagonal."""
+    for half in (0.0, 0.5):
+        own = centres[(centres[:, 0] % 1 == half)]
+        if not len(own):
+            continue
+        n = math.ceil(r + 1)
+        dy, dx = np.mgrid[-n : n + 1, -n : n + 1]
+        near = np.hypot(dx - half, dy - half) <= r
+        low = np.floor(own).astype(int)
+        for a in range(0, len(low), 1 << 16):
+            x, y = (low[a : a + (1 << 16), 0][:, None] + dx[near]).ravel(), (low[a : a + (1 << 16), 1][:, None] + dy[near]).ravel()
+            inside = (x >= 0) & (y >= 0) & (x < out.shape[1]) & (y < out.shape[0])
+            out[y[inside], x[inside]] = 255
+
+
+def draw_line(out: np.ndarray, points: np.ndarray, width: float) -> np.ndarray:
+    """Paints a polyline with round ends: pixels no farther than half the width.
+
+    Between neighbouring pixels the nearest place is a pixel of the line, or the middle of a diagonal step.
+    """
     r = width / 2
     p = np.asarray(points, float)
-    for a, b in zip(p[:-1] if len(p) > 1 else p, p[1:] if len(p) > 1 else p, strict=True):
+    step = np.abs(np.diff(p, axis=0)).max(1, initial=0) if len(p) > 1 else np.zeros(0)
+    if (p % 1 == 0).all():
+        diagonal = (np.abs(np.diff(p, axis=0)) == 1).all(1)
+        stamp(out, np.concatenate([p, (p[:-1][diagonal] + p[1:][diagonal]) / 2]), r)
+        far = np.flatnonzero(step > 1)
+    else:
+        far = np.arange(len(step))
+        if not len(far):
+            return draw_line(out, np.concatenate([p, p]), width)
+    for a, b in zip(p[far], p[far + 1], strict=True):
         lo = np.maximum(np.floor(np.minimum(a, b) - r), 0).astype(int)
         hi = np.minimum(np.ceil(np.maximum(a, b) + r), [out.shape[1] - 1, out.shape[0] - 1]).astype(int)
         if (hi < lo).any():

@@ -111,6 +111,16 @@ def test_clip_of_triangles(points):
         assert shapes.area(c) == pytest.approx(shapes.area(p))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 18), st.integers(-3, 18)), min_size=3, max_size=9))
+def test_convex_polygons_hold_the_pixels_on_one_side_of_all_edges(points):
+    h = shapes.hull(np.array(points))
+    if len(h) > 2:
+        got = shapes.fill_convex((15, 16), h) > 0
+        want = np.array([[shapes.contains(h, x, y) for x in range(16)] for y in range(15)])
+        assert (got == want).all()
+
+
 def test_clip_against_counted_pixels():
     rnd = np.random.default_rng(0)
     for _ in range(30):
@@ -120,6 +130,77 @@ def test_clip_against_counted_pixels():
         assert (shapes.area(got) if got is not None else 0) == pytest.approx((fine > 0).sum() / 100, abs=5)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-2, 22), st.integers(-2, 22)), min_size=1, max_size=6), st.integers(1, 7), st.booleans())
+def test_lines_are_painted_within_half_their_width(points, width, steps):
+    p = np.array(points, float)
+    if steps:  # neighbouring pixels only
+        p = np.cumsum(np.sign(p - 8), axis=0) + 8
+    got = shapes.draw_line(np.zeros((20, 20), np.uint8), p, width) > 0
+    yy, xx = np.mgrid[:20, :20]
+    near = np.full((20, 20), np.inf)
+    for a, b in zip(p[:-1], p[1:], strict=True) if len(p) > 1 else [(p[0], p[0])]:
+        d = b - a
+        t = np.clip(((xx - a[0]) * d[0] + (yy - a[1]) * d[1]) / max(d @ d, 1e-12), 0, 1)
+        near = np.minimum(near, np.hypot(xx - a[0] - t * d[0], yy - a[1] - t * d[1]))
+    edge = np.abs(near - width / 2) < 1e-9
+    assert (got == (near <= width / 2))[~edge].all()
+
+
+def _zhang_suen(mask):
+    on = {(y, x) for y, x in np.argwhere(mask)}
+    h, w = mask.shape
+    while True:
+        before = len(on)
+        for a, b in (((0, 2, 4), (2, 4, 6)), ((0, 2, 6), (0, 4, 6))):
+            gone = set()
+            for y, x in on:
+                if 0 < y < h - 1 and 0 < x < w - 1:
+                    p = [(y + dy, x + dx) in on for dy, dx in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+                    turns = sum(not p[i] and p[(i + 1) % 8] for i in range(8))
+                    if 2 <= sum(p) <= 6 and turns == 1 and not all(p[i] for i in a) and not all(p[i] for i in b):
+                        gone.add((y, x))
+            on -= gone
+        if len(on) == before:
+            return on
+
+
+@settings(max_examples=60, deadline=None)
+@given(masks)
+def test_thinning_is_zhang_suen(mask):
+    assert {tuple(p) for p in np.argwhere(raster.thin(mask))} == _zhang_suen(mask)
+
+
+def _walked(on):
+    """Branches by following pixels one at a time."""
+    near = {p: [q for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (q := (p[0] + dy, p[1] + dx)) in on and not (dy and dx and ((p[0] + dy, p[1]) in on or (p[0], p[1] + dx) in on))] for p in on}
+    out, seen = set(), set()
+    for p in near:
+        if len(near[p]) != 2:
+            for q in near[p]:
+                way = [p, q]
+                while len(near[way[-1]]) == 2:
+                    a, b = near[way[-1]]
+                    way.append(b if a == way[-2] else a)
+                seen |= set(way)
+                out.add(min(tuple(way), tuple(way[::-1])))
+    rings = {p for p in near if len(near[p]) == 2} - seen
+    return out, rings
+
+
+@settings(max_examples=80, deadline=None)
+@given(masks)
+def test_branches_are_those_of_a_walk(mask):
+    on = {tuple(p) for p in np.argwhere(mask).tolist()}
+    want, rings = _walked(on)
+    got, degree = lines.branches(mask)
+    got = [tuple(map(tuple, p.tolist())) for p in got]
+    round_ = [p for p in got if p[0] == p[-1] and degree.get(p[0], 2) == 2]
+    assert {p for r in round_ for p in r} == rings and sum(len(r) - 1 for r in round_) == len(rings)
+    rest = [min(p, p[::-1]) for p in got if p not in round_]
+    assert set(rest) == want and len(rest) == len(want)
+
+
 def test_simplify_border_circle():
     line = np.column_stack([np.arange(50), np.r_[np.zeros(25), np.arange(25)]])
     assert len(shapes.simplify(line, 0.5)) == 3
@@ -141,6 +222,7 @@ def _sheet(t=6, thin=1):
         img[y0:y1, x0:x1] = 0
     img[20 : 20 + thin, 60:200] = 0
     img[150 : 150 + thin, 100:300] = 0
+    img[200 : 200 + thin, 30:120] = 0
     return img
 
 
@@ -171,9 +253,9 @@ def test_clean_keeps_the_contour_and_drops_thin_lines():
     out = sheets.clean(img)
     assert out["mask"][54, 100] and not out["mask"][20, 100] and not out["mask"][150, 200]
     assert ((out["mask"] > 0) <= (img.min(2) < 255)).mean() > 0.98
-    assert len(out["boxes"]) == 1 and all(abs(a - b) <= 5 for a, b in zip(out["boxes"][0], (50, 50, 350, 250), strict=True))
-    crop = sheets.crops(out["clean"], out["boxes"], 64)[0]
-    assert crop.shape == (64, 64, 3) and [r.shape for r in sheets.rotations(crop)] == [(64, 64, 3)] * 4 and sheets.crops(img, [], 64) == []
+    assert len(out["boxes"]) == 1 and all(abs(a - b) <= 5 for a, b in zip(out["boxes"][0], (26, 26, 374, 274), strict=True))  # three thicknesses around it
+    crop = sheets.crops([v["picture"] for v in out["views"]], 64)[0]
+    assert crop.shape == (64, 64, 3) and [r.shape for r in sheets.rotations(crop)] == [(64, 64, 3)] * 4 and sheets.crops([], 64) == []
 
 
 def test_text_is_cleared_and_lines_stay():
@@ -231,12 +313,9 @@ def test_near_junctions_merge_and_far_ones_do_not(gap, merged):
     m[147:153, 20:380] = 255
     m[40:150, 200:202] = 255
     m[150:260, 200 + gap : 202 + gap] = 255
-    skeleton = lines.prune(raster.thin(m), raster.distance(m))
-    parts, degree = lines.branches(skeleton)
-    before = {e for e, d in degree.items() if d >= 3}
-    parts, degree = lines._merge_close(parts, degree, raster.distance(m))
-    nodes = {tuple(e.tolist()) for b in parts for e in (b[0], b[-1]) if degree.get(tuple(e.tolist()), 0) >= 3}
-    assert len(before) >= 2 and (len(nodes) == 1) == merged
+    g = lines.links_of(lines.prune(raster.thin(m), raster.distance(m)))
+    assert (g.degree() >= 3).sum() >= 2
+    assert ((lines.merge_close(g, raster.distance(m)).degree() >= 3).sum() == 1) == merged
 
 
 def test_a_path_is_cut_where_its_thickness_changes():

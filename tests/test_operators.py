@@ -175,12 +175,13 @@ def test_sheets_from_files_keep_order_and_isolate_errors(spark, tmp_path):
     img = np.full((120, 160, 3), 255, np.uint8)
     img[20:26, 20:140] = img[94:100, 20:140] = 0
     img[20:100, 20:26] = img[20:100, 134:140] = 0
+    img[60, 5:60] = 0  # no view without a thin line
     for n in ("b.png", "a.PNG"):
         images.save(str(tmp_path / "in" / n), img)
     (tmp_path / "in" / "c.png").write_bytes(b"broken")
     (tmp_path / "in" / "d.txt").write_text("no picture")
     found = images.discover(spark, [str(tmp_path / "in")])
-    got = images.map_sheets(found, lambda path, x: {"h": x.shape[0]}, "h int").orderBy("ordinal").collect()
+    got = detections.ordered(images.map_sheets(found, lambda path, x, more: {"h": x.shape[0]}, "h int")).collect()
     assert [(r.path.rsplit("/", 1)[1], r.h, r.error is None) for r in got] == [("a.PNG", 120, True), ("b.png", 120, True), ("c.png", None, False)]
     assert cli.main(["clean", str(tmp_path / "in"), "--out", str(tmp_path / "out")]) == 1
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.png", "b.png"]
