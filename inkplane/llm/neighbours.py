@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Rows are dealt in blocks of at most BLOCK vectors. Each block holds TREES sorted arrays of BITS-bit hash
-strings (signs of random projections). A query descends each array to its longest matching prefix by binary
-search and then ascends in all arrays at once, a bit at a time, until the rows below the prefixes make up
-CANDIDATES of the block; those are measured exactly. The best of a block's answers are merged by query.
+Rows are dealt in blocks of about BLOCK vectors by a hash of what they hold, so neither files nor partitions change a
+block or an answer. Each block holds TREES sorted arrays of BITS-bit hash strings (signs of random projections) and is
+built once. A query descends each array to its longest matching prefix by binary search and then ascends in
+all arrays at once, a bit at a time, until the rows below the prefixes make up CANDIDATES of the block; those are
+measured exactly. The best of a block's answers are merged by query.
 
 The stated queries meet the rows block by block: both sides are cut in blocks, joined by a block number, so
 neither side is broadcast and no task holds more than a few blocks. Every row is indexed, in float64.
 
-Edge cases: vectors that are null, zero, of another length than the most common one, or hold null or
-non-finite components take no part; equal distances go to the smaller vec_id; repeated rows are candidates
-as often as they stand (a query's own vec_id never), a repeated query is asked once; with fewer candidates all are returned; an empty
-table gives an empty result; other columns are ignored.
+Edge cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of other
+lengths are searched among their own kind; equal distances go to the smaller vec_id; repeated rows are candidates
+as often as they stand (a query's own vec_id never) and one row in a block; a repeated query is asked once (its smallest
+vector); with fewer candidates all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from . import common
 BLOCK, QUERIES, TREES, BITS, CANDIDATES = 4096, 1024, 64, 32, 0.45
 NEAREST = 10
 
-BLOCK_SCHEMA = "block long, dim int, ids binary, vectors binary"
+BLOCK_SCHEMA = "block long, dim int, ids binary, times binary, vectors binary"
 
 
 def sound(vector: Column) -> Column:
@@ -45,35 +46,21 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows packed in blocks of one length of vectors: ids as int64, vectors as float64."""
+    """Rows (vec_id, embedding, times) packed in blocks of one length of vectors, in order of vec_id: ids and times as int64, vectors as float64."""
 
-    def run(batches):
-        import pyspark
-
-        part = pyspark.TaskContext.get().partitionId()
-        held: dict[int, list] = {}
-        made = 0
-
-        def out(dim):
-            nonlocal made
-            ids, vecs = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            for a in range(0, len(ids), most):
-                yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 32) + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids[a : a + most].tobytes()], pa.binary()), pa.array([vecs[a : a + most].tobytes()], pa.binary())], names=["block", "dim", "ids", "vectors"])
-                made += 1
-
-        for b in batches:
-            e = b.column("embedding")
-            off = e.offsets.to_numpy()
-            flat, ids, dims = e.values.to_numpy(zero_copy_only=False), b.column("vec_id").to_numpy(), np.diff(off)
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                held.setdefault(int(dim), []).append((ids[own], flat[off[own][:, None] + np.arange(dim)]))
-                if sum(len(x[0]) for x in held[int(dim)]) >= most:
-                    yield from out(int(dim))
-        for dim in list(held):
-            yield from out(dim)
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, times = t["vec_id"].to_numpy(), t["times"].to_numpy()
+        dim, block = t["dim"][0].as_py(), t["block"][0].as_py()
+        x = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        order = np.lexsort((*x.T[::-1], ids))
+        return pa.table([pa.array([block], pa.int64()), pa.array([dim], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (ids[order], times[order], x[order])]], names=["block", "dim", "ids", "times", "vectors"])
 
-    return rows.mapInArrow(run, BLOCK_SCHEMA)
+    sized = rows.withColumn("dim", F.size("embedding"))
+    number = {r["dim"]: max(1, -(-r["count"] // most)) for r in sized.groupBy("dim").count().collect()}  # one row a length of vectors
+    of = F.create_map(*[F.lit(x) for d, n in number.items() for x in (d, n)])[F.col("dim")] if number else F.lit(1)
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), of))
+    return dealt.groupBy("dim", "block").applyInArrow(pack, BLOCK_SCHEMA)
 
 
 @cache
@@ -125,39 +112,41 @@ class Forest:
                 return
 
 
-def nearest(q_ids, q, ids, x, k: int, share: float = CANDIDATES):
-    """(query, vec_id, distance) of the k nearest found in a block, ties to the smaller id; small blocks are measured whole."""
-    least = max(4 * k, int(share * len(x)))
-    found = ((i, np.arange(len(x))) for i in range(len(q))) if len(x) <= 8 * k else Forest(x).candidates(q, least)
-    for i, rows in found:
+def nearest(q_ids, q, forest: Forest, ids, x, k: int, share: float = CANDIDATES):
+    """(query, vec_id, distance, row) of the k nearest rows found in a block, ties to the smaller id."""
+    for i, rows in forest.candidates(q, max(4 * k, int(share * len(x)))):
         rows = rows[ids[rows] != q_ids[i]]
         d = np.sqrt(np.square(x[rows] - q[i]).sum(1))
         best = np.lexsort((ids[rows], d))[:k]
-        yield np.full(len(best), q_ids[i]), ids[rows][best], d[best]
+        yield np.full(len(best), q_ids[i]), ids[rows][best], d[best], rows[best]
 
 
 def search(rows: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each row that `queries` picks."""
     spark = rows.sparkSession
-    every = vectors(rows)
-    asked = every.where(queries).dropDuplicates(["vec_id"])
-    n = asked.count()
-    parts = max(1, -(-n // QUERIES))
-    asked = blocks(asked.repartition(parts, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")) if parts > 1 else asked.repartition(1), QUERIES)
+    every = common.cut(vectors(rows).groupBy("vec_id", "embedding").agg(F.count("*").alias("times")))
+    asked = every.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.lit(1).cast("long").alias("times"))
     salts = common.partitions(spark)
-    asked = asked.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dealt = blocks(every, BLOCK).select("dim", "ids", "vectors", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
-    met = dealt.join(asked, ["salt", "dim"])
+    asked = blocks(asked, QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = blocks(every, BLOCK).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    met = dealt.join(asked, ["salt", "dim"])  # a block of rows meets one block of queries after the other
 
     def run(batches):
+        built: tuple = (None, None)
         for b in batches:
             for r in b.to_pylist():
-                get = lambda ids, v: (np.frombuffer(r[ids], np.int64), np.frombuffer(r[v], np.float64).reshape(-1, r["dim"]))  # noqa: E731, B023
-                parts = list(nearest(*get("q_ids", "q"), *get("ids", "vectors"), k))
+                ids, times = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["times"], np.int64)
+                x = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])
+                if built[0] != (r["dim"], r["block"]):
+                    built = (r["dim"], r["block"]), Forest(x)
+                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.float64).reshape(-1, r["dim"])
+                parts = list(nearest(q_ids, q, built[1], ids, x, k))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["query_id", "vec_id", "score"])
+                    query, vec, score, row = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    n = np.minimum(times[row], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, n)) for c in (query, vec, score)], names=["query_id", "vec_id", "score"])
 
-    got = met.select("dim", "q_ids", "q", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
+    got = met.select("dim", "block", "q_ids", "q", "ids", "times", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
     return got.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 

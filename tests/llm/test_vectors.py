@@ -84,6 +84,24 @@ def test_nearest_recall(vectors, spark):
     assert _recall(real, [(r.vec_id, list(r.embedding)) for r in real.collect()], 10, 10, 64) >= 0.9
 
 
+def test_nearest_are_the_same_for_any_partitioning(vectors, spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
+    df, rows = vectors
+    real = spark.read.parquet(f"{SF}/embeddings.parquet")
+    for d, mod in ((df, 50), (real, 10)):
+        ways = [sorted(map(str, neighbours.search(d.repartition(n), F.col("vec_id") % mod == 0).collect())) for n in (1, 5, 16)]
+        assert ways[0] == ways[1] == ways[2] and ways[0]
+    # small blocks too go through the forest
+    assert _recall(df.where("size(embedding) = 8 or embedding is null"), rows, 100, 10, 8) >= 0.9
+
+
+def test_repeated_rows_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), *[(1, [0.9, 0.1])] * 30, (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [1.0]), (100, [2.0]), (100, [2.0]), (100, [3.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, i, 1) for i in range(1, 6)] + [(100, 1, 4)]
+    assert got[-1].score == 1.0
+
+
 def test_few_candidates_and_empty_tables(spark):
     df = spark.createDataFrame([(0, [1.0]), (3, [2.0]), (5, [2.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == [(0, 1, 3), (0, 2, 5)]
