@@ -1,11 +1,12 @@
 """Suffix-array dedup: bytes of LENGTH-byte strings that also start in an earlier document are removed.
 
-Documents are dealt in chunks, ascending ranges of doc_id, so "an earlier document" is one of an earlier chunk
-or an earlier one of the same chunk. Every LENGTH-byte window has an anchor, the KEY-byte string of smallest
+Documents are dealt in chunks of about CHUNK_BYTES, ascending ranges of doc_id cut where the running sum of bytes says,
+so "an earlier document" is one of an earlier chunk or an earlier one of the same chunk. Every LENGTH-byte window has an anchor, the KEY-byte string of smallest
 hash within it; neighbouring windows of one anchor make a run. Equal windows have equal anchors, so:
 
-1. Chunks tell which anchors they hold, and the hash of each one's run (a mark if they hold different runs).
-   An anchor with one run everywhere is settled: all documents but the first lose it.
+1. Chunks tell which anchors they hold, and the 64-bit hash of each one's run (a mark if they hold different runs).
+   An anchor with one run everywhere is settled: all documents but the first lose it. Two different runs would have to
+   agree in 64 bits of their own and in 36 to 63 of their anchors'.
 2. Where runs differ (the ends of a repeated passage, or chance), each chunk sends the text around the anchor,
    once a run. The texts right of an anchor and, backwards, left of it are sorted as suffixes, deep-shallow:
    by anchor and SHALLOW bytes first, then a blind trie for each group that is still equal. Two occurrences
@@ -26,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,7 +37,7 @@ LENGTH, KEY = 50, 24
 SIDE = LENGTH - KEY
 SHALLOW = 8
 #: Bytes of text in a chunk, anchors of a bucket, and chunks beyond which an anchor is handled by its windows.
-CHUNK_BYTES, BUCKET, HOT = 4 << 20, 1 << 18, 32
+CHUNK_BYTES, BUCKET, HOT = 4 << 20, 1 << 18, 1024
 
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
@@ -156,7 +157,7 @@ def _ranges(key: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _packed(bits: int, hashes: np.ndarray, second: np.ndarray, chunk: int, kind: int) -> list[tuple]:
-    """Rows (kind, bucket, chunk, blob, blob) of ascending hashes: 32 bits below the bucket's, and a second number of 32 bits."""
+    """Rows (kind, bucket, chunk, blob, blob) of ascending hashes: 32 bits below the bucket's, and a second number each."""
     bucket = (hashes >> _U(64 - bits)).astype(np.int64)
     low = ((hashes >> _U(32 - bits)) & _LOW).astype(np.uint32)
     return [(kind, int(bucket[a]), chunk, low[a:b].tobytes(), second[a:b].tobytes()) for a, b in _ranges(bucket)]
@@ -173,14 +174,14 @@ _BLOB_NAMES = "kind bucket chunk a b"
 
 
 def _held(runs: Runs, bits: int, chunk: int) -> list[tuple]:
-    """Step 1's rows: each anchor once, with 32 bits of its run's hash, 0 if it has several."""
+    """Step 1's rows: each anchor once, with its run's hash, 0 if it has several."""
     order, new = _grouped(runs.key)
     starts = np.flatnonzero(new)
     if not len(starts):
         return []
     r = runs.run[order]
     low, high = np.minimum.reduceat(r, starts), np.maximum.reduceat(r, starts)
-    mark = np.where(low == high, np.maximum(low & _LOW, _U(1)), _U(0)).astype(np.uint32)
+    mark = np.where(low == high, np.maximum(low, _U(1)), _U(0))
     return _packed(bits, runs.key[order][starts], mark, chunk, 0)
 
 
@@ -189,7 +190,7 @@ def _settle(table: pa.Table) -> pa.Table:
     chunk, a, b = table["chunk"].to_numpy(), table["a"].to_pylist(), table["b"].to_pylist()
     keys = [np.frombuffer(x, np.uint32) for x in a]
     of = np.repeat(chunk, [len(x) for x in keys])
-    key, mark = np.concatenate(keys), np.concatenate([np.frombuffer(x, np.uint32) for x in b])
+    key, mark = np.concatenate(keys), np.concatenate([np.frombuffer(x, _U) for x in b])
     order, new = _grouped(key, of)
     starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     size = np.diff(np.r_[starts, len(order)])
@@ -302,10 +303,14 @@ def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np
     head = np.ascontiguousarray(strings[:, :SHALLOW]).view(">u8").ravel().astype(_U)
     order, new = _grouped(group, head)
     starts = np.flatnonzero(new)
-    for a, b in zip(starts, np.r_[starts[1:], len(order)].astype(int), strict=True):
-        if b - a > 1:
-            own = order[a:b]
-            order[a:b] = own[blind_trie([strings[i, SHALLOW:].tobytes() for i in own])]
+    ends = np.r_[starts[1:], len(order)].astype(int)
+    s = strings[order]
+    apart = np.r_[False, (s[1:] != s[:-1]).any(1)] if len(order) else np.zeros(0, bool)
+    apart[starts] = False
+    several = np.add.reduceat(apart, starts) > 0 if len(starts) else starts  # a group of one string is a leaf of its trie
+    for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        own = order[a:b]
+        order[a:b] = own[blind_trie([x.tobytes() for x in s[a:b, SHALLOW:]])]
     s, g = strings[order], group[order]
     lcp = np.full(len(order), -1)
     if len(order) > 1:
@@ -415,34 +420,62 @@ def _finish(runs: Runs, ids: np.ndarray, doc_ids: pa.ChunkedArray, replies: pa.T
     return pa.table([doc_ids, *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _bounds(d: DataFrame, parts: int) -> np.ndarray:
+    """Last doc_id of every chunk but the last, ascending: eight bytes for each CHUNK_BYTES of text, or two chunks a task of a small table.
+
+    Documents are summed up in ranges of doc_id; a document's chunk is where the running sum before it lies.
+    """
+    size = d.where("doc_id is not null").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"))
+    ranged = common.cut(size.repartitionByRange(parts, "doc_id").select("doc_id", "n", F.spark_partition_id().alias("part")))
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offset = ranged.groupBy("part").agg(F.sum("n").alias("all")).withColumn("offset", F.coalesce(F.sum("all").over(whole), F.lit(0)))
+    within = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(offset.drop("all")), "part")
+    total = ranged.agg(F.sum("n")).first()[0] or 0
+    step = max(1, min(CHUNK_BYTES, -(-total // parts)))
+    lasts = placed.groupBy(F.floor((F.col("before") + F.col("offset")) / step).alias("chunk")).agg(F.max("doc_id").alias("last"))
+    return np.sort(lasts.toArrow()["last"].to_numpy())[:-1]
+
+
+def _dealt(d: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(chunk, block): packed rows of each chunk."""
+    sent = d.sparkSession.sparkContext.broadcast(bounds)
+
+    def number(batches):
+        for b in batches:
+            chunk = np.searchsorted(sent.value, b.column("doc_id").to_numpy(), "left").astype(np.int64)
+            yield b.append_column("chunk", pa.array(chunk))
+
+    return common.packed(d.where("doc_id is not null"), "chunk", number)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = common.partitions(spark)
-    chunks = max(parts, -(-total // CHUNK_BYTES))
     bits = min(31, max(4, int(total / 14 / BUCKET).bit_length()))
-    at = [i / chunks for i in range(1, chunks)]
-    bounds = sorted(set((d.agg(F.percentile_approx("doc_id", at, 100 * chunks)).first()[0] or []) if at else []))
-    chunk = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("doc_id"))).cast("long") if bounds else F.lit(0).cast("long")
-    dealt = d.where("doc_id is not null").withColumn("chunk", chunk).repartition(max(parts, chunks // 16), "chunk")
+    bounds = _bounds(d, parts)
+    dealt = _dealt(d, bounds).repartition(max(parts, (len(bounds) + 1) // 16), "chunk")
 
-    def hold(t: pa.Table) -> pa.Table:
-        return _table(_held(Runs(t["text"]), bits, t["chunk"][0].as_py()) if t.num_rows else [], _BLOB_NAMES, _BLOBS)
+    def rows_of(blocks: pa.Table) -> tuple[pa.Table, Runs, np.ndarray]:
+        t = common.unpacked(blocks["block"])
+        runs = Runs(t["text"])
+        return t, runs, t["doc_id"].to_numpy()[runs.row]
 
-    def ids_of(t: pa.Table, runs: Runs) -> np.ndarray:
-        return t["doc_id"].to_numpy()[runs.row]
+    def hold(blocks: pa.Table) -> pa.Table:
+        return _table(_held(rows_of(blocks)[1], bits, blocks["chunk"][0].as_py()) if blocks.num_rows else [], _BLOB_NAMES, _BLOBS)
 
-    def send(t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows or not replies.num_rows:
+    def send(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not replies.num_rows:
             return _table([], _BLOB_NAMES, _BLOBS)
-        runs = Runs(t["text"])
-        return _table(_around(runs, ids_of(t, runs), _codes(runs, replies, bits, 0, runs.key), bits, t["chunk"][0].as_py()), _BLOB_NAMES, _BLOBS)
+        _, runs, ids = rows_of(blocks)
+        return _table(_around(runs, ids, _codes(runs, replies, bits, 0, runs.key), bits, blocks["chunk"][0].as_py()), _BLOB_NAMES, _BLOBS)
 
-    def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
-        runs = Runs(t["text"])
-        return _finish(runs, ids_of(t, runs), t["doc_id"], replies, bits)
+    def finish(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        t, runs, ids = rows_of(blocks)
+        return _finish(runs, ids, t["doc_id"], replies, bits)
 
     by_chunk = dealt.groupBy("chunk")
     codes = by_chunk.applyInArrow(hold, _BLOB_SQL).groupBy("bucket").applyInArrow(_settle, _BLOB_SQL)
