@@ -136,6 +136,19 @@ def test_links_beside_a_hot_group(spark, monkeypatch, exact):
     assert got == {i: (n, 0 if n else i) for i, n in enumerate(links.tolist())}
 
 
+def test_equal_vectors_are_one_class(spark):
+    """A hot class costs one row after the first count: no later step sees its copies."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(20000)] + [(20000 + i, [float(c) for c in v]) for i, v in enumerate(rng.standard_normal((60, 4)))]
+    rows[7] = (7, [2.0, 4.0, 6.0, 8.0])  # the same direction, other bits
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    extra = {i: int((x[i] @ x[19999:].T >= vector_dedup.LEAST).sum()) for i in (0, 7)}
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(df).collect()}
+    assert len(got) == len(rows) and all(got[i].n_links == 19999 + extra[0] - 1 and got[i].component_id == 0 for i in range(20000))
+
+
 def test_the_second_round_grows_with_the_rows():
     agree = 1 - np.arccos(vector_dedup.LEAST) / np.pi
     for n in (1, 10**4, 10**5, 10**6, 10**8, 10**10):
