@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from . import common
 
 
-#: Partitions of links that one task turns into a forest.
-TOGETHER = 32
+#: Links that a task gathers before it hands on their forest.
+TOGETHER = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +41,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forests(batches):
-    """The links of a task as one forest."""
+    """The links of a task as forests, each of TOGETHER links at most (and a batch)."""
     low = high = np.zeros(0, np.int64)
     for b in batches:
         low, high = forest(np.concatenate([low, b.column("a").to_numpy()]), np.concatenate([high, b.column("b").to_numpy()]))
+        if len(low) > TOGETHER:
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+            low = high = low[:0]
     yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
 
@@ -63,7 +66,7 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that links a, b name; the component is its smallest node. Repeated links and loops do no harm."""
     own = common.cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
-    fewer = own.coalesce(max(1, own.rdd.getNumPartitions() // TOGETHER)).mapInArrow(_forests, "a long, b long")
+    fewer = own.coalesce(max(1, -(-own.count() // TOGETHER))).mapInArrow(_forests, "a long, b long")
     known = common.cut(fewer.distinct())
     last = None
     while True:

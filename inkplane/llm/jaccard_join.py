@@ -11,10 +11,10 @@ within the first |s| - ceil(LEAST |s|) + 1 of both, and two shingles if one more
 
 the boundary being the size at which the two ways cost least in total. Short inverted lists give their pairs
 of fitting size and position at once. Long (heavy) lists give star pairs to their first set; once those are
-verified, only pairs of different components are left of a heavy list, and they are made in square cells.
+verified, only pairs of different components and of fitting sizes are left of a heavy list: its entries are dealt in
+bands of size, and neighbouring bands meet in square cells.
 
-Candidate pairs are sifted by counts of their hashes in 256 parts (an upper bound of the intersection) and by the 32
-smallest hashes of both sets (of which two sets at the threshold share 4 but for a chance of about 1e-13), then
+Candidate pairs are sifted by counts of their hashes in PARTS parts (an upper bound of the intersection), then
 verified on the whole sets. Links are united into components.
 
 Edge cases: null and empty texts have no shingle and link with nothing; repeated rows are of one class; rows
@@ -45,7 +45,8 @@ LIGHT = 24
 LEADERS = 32
 #: Sets a side of a cell of a heavy list, and entries of a hot list before it is salted.
 CELL, SALT_ROWS = 4096, 1 << 16
-SKETCH, SKETCH_LEAST = 32, 4
+#: Parts in which a set's hashes are counted; a power of 2.
+PARTS = 512
 #: Shingle hashes a task gathers before it hands them on, and of one bucket of the count on average.
 FLUSH, BUCKET = 1 << 21, 1 << 20
 
@@ -100,14 +101,13 @@ def _overlap(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
 
 
 def _stats(batches):
-    """doc_id, size, class, and a sketch: counts of the hashes by their first byte (255: or more), then 32 bits of each of the SKETCH smallest."""
+    """doc_id, size, class, and a sketch: counts of the hashes by their first bits (255: or more)."""
     for b in common.slices(batches):
         d, h = shingles(*common.text_bytes(b.column("text")))
         n, c = _classes(d, h, b.num_rows)
-        first = np.searchsorted(d, np.arange(b.num_rows))
-        counts = np.minimum(np.bincount(d * 256 + (h >> np.uint64(56)).astype(np.int64), minlength=256 * b.num_rows), 255).astype(np.uint8).reshape(-1, 256)
-        sketch = [c_.tobytes() + np.sort(common.mix(h[i : i + k]).astype(np.uint32)).tobytes() for c_, i, k in zip(counts, first, np.minimum(n, SKETCH), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "class", "sketch"])
+        part = (h >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+        counts = np.minimum(np.bincount(d * PARTS + part, minlength=PARTS * b.num_rows), 255).astype(np.uint8).reshape(-1, PARTS)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c), pa.array([c_.tobytes() for c_ in counts], pa.binary())], names=["doc_id", "n_shingles", "class", "sketch"])
 
 
 def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -176,7 +176,7 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 def _signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], small: int) -> DataFrame:
     """(sig, salt, class, n, pos) of each class that a task meets; pos is a shingle's place in the order, -1 of a subset's;
-    salt is -1 of lists that are not salted."""
+    salt is -1 of lists that are not salted: those of no more documents than the least frequent shingle told apart."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -215,7 +215,8 @@ def _signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], s
                     i = own[own + gap < len(d)]
                     i = i[(d[i + gap] == d[i]) & (pos[i] + gap <= p[i])]
                     sig = common.mix(np.minimum(h[i], h[i + gap]) * _ODD[0] + np.maximum(h[i], h[i + gap]) * _ODD[1])
-                    parts.append((sig.view(np.int64), np.full(len(i), -1, np.int32), cls[i], n[i], np.full(len(i), -1)))
+                    often = 1 + np.minimum(df[i], df[i + gap]) // SALT_ROWS  # as long as the list may be
+                    parts.append((sig.view(np.int64), np.where(often > 1, cls[i] % often, -1).astype(np.int32), cls[i], n[i], np.full(len(i), -1)))
             sig, salt, cl, nn, pp = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(salt), pa.array(cl), pa.array(nn, pa.int32()), pa.array(pp, pa.int32())], names=["sig", "salt", "class", "n", "pos"])
 
@@ -288,18 +289,14 @@ def _lists(batches):
 
 
 def _sift(batches):
-    """Pairs whose sizes fit, whose counts leave room for the intersection they need, and whose smallest hashes agree often enough."""
+    """Pairs whose sizes fit and whose counts leave room for the intersection they need."""
     for b in batches:
         if not b.num_rows:
             continue
         n1, n2 = b.column("n1").to_numpy(), b.column("n2").to_numpy()
-        s1, s2 = b.column("s1").to_pylist(), b.column("s2").to_pylist()
-        c1, c2 = (np.frombuffer(b"".join(x[:256] for x in s), np.uint8).reshape(-1, 256) for s in (s1, s2))
+        c1, c2 = (np.frombuffer(b"".join(b.column(s).to_pylist()), np.uint8).reshape(-1, PARTS) for s in ("s1", "s2"))
         room = np.minimum(c1, c2).sum(1, dtype=np.int64)
         keep = _fit(n1, n2) & ((room >= _overlap(n1, n2)) | (c1 == 255).any(1) | (c2 == 255).any(1))
-        least = np.minimum(SKETCH_LEAST, _overlap(n1, n2))
-        for i in np.flatnonzero(keep):
-            keep[i] = len(np.intersect1d(np.frombuffer(s1[i][256:], np.uint32), np.frombuffer(s2[i][256:], np.uint32), True)) >= least[i]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -357,23 +354,32 @@ def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
     return common.cut(near.join(side("a", "s1"), "a").join(side("b", "s2"), "b").mapInArrow(_verify, "a long, b long"))
 
 
+#: Columns that name a cell of a heavy list: the bands of its sides, and which part of each.
+_CELL = ("sig", "band", "band2", "i", "j")
+
+
 def _cell_pairs(batches):
     """Pairs of different components within each cell of a heavy list."""
     held: list = []
     cell = None
 
     def out():
-        side, cls, comp, n, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-        left, right = (np.flatnonzero(side == cell[1]), np.flatnonzero(side == cell[2]))
-        for i in left:
-            j = right[right > i] if cell[1] == cell[2] else right
-            j = j[(comp[j] != comp[i])]
-            j = j[_worth(n[j], pos[j], n[i], pos[i])]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
+        mine, side, cls, comp, n, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        _, low, high, i_, j_ = cell
+        left, right = np.flatnonzero((mine == low) & (side == i_)), np.flatnonzero((mine == high) & (side == j_))
+        own = (low, i_) == (high, j_)
+        for at in range(0, len(left), 256):
+            p = left[at : at + 256]
+            fits = (comp[p][:, None] != comp[right][None]) & _worth(n[right][None], pos[right][None], n[p][:, None], pos[p][:, None])
+            if own:
+                fits &= right[None] > p[:, None]
+            a, b = np.nonzero(fits)
+            if len(a):
+                a, b = cls[p[a]], cls[right[b]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for b in batches:
-        key = [b.column(c).to_numpy() for c in ("sig", "i", "j")]
+        key = [b.column(c).to_numpy() for c in _CELL]
         cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in key], axis=0), True]) if b.num_rows else []
         for s, t in zip(cuts[:-1], cuts[1:], strict=True):
             now = tuple(int(c[s]) for c in key)
@@ -381,20 +387,35 @@ def _cell_pairs(batches):
                 yield from out()
                 held = []
             cell = now
-            held.append([b.column(c).to_numpy()[s:t] for c in ("side", "class", "component", "n", "pos")])
+            held.append([b.column(c).to_numpy()[s:t] for c in ("mine", "side", "class", "component", "n", "pos")])
     if held:
         yield from out()
 
 
 def _apart(heavy: DataFrame, found: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) that heavy lists leave to verify, given the components found; see _cell_pairs."""
-    heavy = heavy.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
+    """Pairs (a, b) that heavy lists leave to verify, given the components found; see _cell_pairs.
+
+    Sets that link differ in size by a factor of 100 / LEAST at most, so with bands of that ratio only a band and the next one meet.
+    """
+    heavy = heavy.distinct().join(found.select(F.col("node").alias("class"), "component"), "class", "left")
     heavy = heavy.withColumn("component", F.coalesce("component", "class"))
-    lists = heavy.groupBy("sig").agg(F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    lists = lists.select("sig", F.ceil(F.col("rows") / CELL).cast("int").alias("k"))
-    apart = heavy.join(lists, "sig").withColumn("side", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    apart = apart.select("sig", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class", "component", "n", "pos")
-    cells = apart.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    heavy = heavy.withColumn("mine", F.floor(F.log("n") / F.lit(math.log(100 / LEAST)) + 1e-9).cast("int"))
+    lists = heavy.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+    bands = heavy.join(lists, "sig").groupBy("sig", "mine").agg(F.count("*").alias("rows"))
+    shape = bands.select("sig", "mine", F.ceil(F.col("rows") / CELL).cast("int").alias("k"))
+    near = lambda step, name: shape.select("sig", (F.col("mine") - step).alias("mine"), F.col("k").alias(name))
+    shape = shape.join(near(1, "above"), ["sig", "mine"], "left").join(near(-1, "below"), ["sig", "mine"], "left")
+    row = heavy.join(shape, ["sig", "mine"]).withColumn("side", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
+    count = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda band, band2, i, j: F.struct(band.alias("band"), band2.alias("band2"), i.alias("i"), j.alias("j"))
+    mine, side = F.col("mine"), F.col("side")
+    cells = F.concat(
+        F.transform(count("k"), lambda o: cell(mine, mine, F.least(side, o), F.greatest(side, o))),
+        F.transform(count("above"), lambda o: cell(mine, mine + 1, side, o)),
+        F.transform(count("below"), lambda o: cell(mine - 1, mine, o, side)),
+    )
+    row = row.withColumn("cell", F.explode(cells)).select("sig", "cell.*", "mine", "side", "class", "component", "n", "pos")
+    cells = row.repartition(parts, *_CELL).sortWithinPartitions(*_CELL)
     return common.written(cells.mapInArrow(_cell_pairs, "a long, b long").distinct())
 
 
