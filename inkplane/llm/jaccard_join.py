@@ -101,13 +101,13 @@ def _overlap(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
 
 
 def _stats(batches):
-    """doc_id, size, class, and a sketch: counts of the hashes by their first bits (255: or more)."""
+    """doc_id, digest of the text, size, class, and a sketch: counts of the hashes by their first bits (255: or more)."""
     for b in common.slices(batches):
         d, h = shingles(*common.text_bytes(b.column("text")))
         n, c = _classes(d, h, b.num_rows)
         part = (h >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
         counts = np.minimum(np.bincount(d * PARTS + part, minlength=PARTS * b.num_rows), 255).astype(np.uint8).reshape(-1, PARTS)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c), pa.array([c_.tobytes() for c_ in counts], pa.binary())], names=["doc_id", "n_shingles", "class", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(n, pa.int64()), pa.array(c), pa.array([c_.tobytes() for c_ in counts], pa.binary())], names=["doc_id", "digest", "n_shingles", "class", "sketch"])
 
 
 def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -421,10 +421,23 @@ def _apart(heavy: DataFrame, found: DataFrame, parts: int) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return _by_document(*_linked(docs))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (xxhash64 of the text), n_shingles and group of every row: texts that are linked are of one group, whatever doc_id they bear; null without words."""
+    stats, label = _linked(docs)
+    named = label.select(F.col("node").alias("class"), "component")
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "class"))
+    return stats.join(named, "class", "left").select("doc_id", "digest", "n_shingles", group.alias("group"))
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, digest, n_shingles, class and sketch; and (node, component) of the classes that link."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = common.partitions(spark)
-    stats = common.cut(d.mapInArrow(_stats, "doc_id long, n_shingles long, class long, sketch binary"))
+    stats = common.cut(d.withColumn("digest", F.xxhash64("text")).mapInArrow(_stats, "doc_id long, digest long, n_shingles long, class long, sketch binary"))
     sizes = {r["n"]: r["c"] for r in stats.where("n_shingles between 1 and 100").groupBy(F.col("n_shingles").alias("n")).agg(F.count("*").alias("c")).collect()}  # 100 rows at most
     total = stats.agg(F.sum("n_shingles")).first()[0] or 0
     texts = d.select("text")
@@ -445,7 +458,7 @@ def join(docs: DataFrame) -> DataFrame:
         found = _verified(_near(rest, sketches), sets)
         if not found.isEmpty():
             label = merged(label, found)
-    return _by_document(stats, label)
+    return stats, label
 
 
 def _by_document(stats: DataFrame, label: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ the hash; sums of the ranges give each range its offset, a window within the ran
 own. A source's budget is then cut exactly: whole epochs, and in the last one the words up to the budget.
 
 Edge cases: null text counts 0 words; null sources are one source, ordered last; documents of 0 words are
-taken 0 times; repeated rows count as often as they stand; an empty table gives an empty result; other
+taken 0 times; repeated rows count as often as they stand and share their words; an empty table gives an empty result; other
 columns are ignored. Ties of the key go by doc_id, then the text's hash, then size, so reruns agree.
 """
 
@@ -26,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 #: Words the mix holds in total against those there are, and the most of one source.
 SHARE, MOST = 1.5, 2.0
 #: Documents of one source in one range of the hash, on average.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIZES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("size", pa.int64())])
@@ -91,28 +91,44 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, in docs' own columns: a row for each time a document is taken, the last one cut after the budget's word.
 
-    Rows that are equal in doc_id and text but differ elsewhere are matched by doc_id and text, each once per row there.
+    Rows are matched by doc_id and text. Rows that repeat both share what the mix takes of them, word for word: those that differ
+    elsewhere in proportion to how often they stand.
     """
     columns = docs.columns
-    plan = mix(docs, **how).groupBy("doc_id", "digest").agg(F.sum("taken").alias("taken"), F.sum("size").alias("all_size"), F.first("size").alias("size"), F.count("*").alias("rows"))
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("taken").alias("_taken"), F.col("size").alias("_size"), F.col("rows").alias("_rows"))
-    own = docs.withColumn("_key_id", F.col("doc_id").cast("long")).withColumn("_key_digest", F.xxhash64(F.col("text").cast("string")))
-    met = own.join(plan, F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_digest") == F.col("_digest")))
-    share = F.col("_taken") / F.col("_rows")
-    met = met.withColumn("_take", F.floor(share))
-    full, part = F.floor(F.col("_take") / F.col("_size")), F.col("_take") % F.col("_size")
+    key = ["__id", "__digest"]
+    plan = mix(docs, **how).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.sum("taken").alias("__taken"), F.first("size").alias("__size"), F.count("*").alias("__rows"))
+    plan = common.cut(plan.where("__taken > 0"))
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__digest", F.xxhash64(F.col("text").cast("string")))
+    met = _met(own, plan.where("__rows = 1").drop("__rows"), key)
+    several = plan.where("__rows > 1")
+    if not several.isEmpty():
+        variant = _met(own, several, key).withColumn("__variant", F.xxhash64(*[F.col(c) for c in columns]))
+        upto = Window.partitionBy(*key).orderBy("__variant")
+        n = variant.groupBy(*key, "__variant", "__taken", "__rows").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(upto))
+        words = lambda c: F.floor(F.col("__taken") * c / F.col("__rows"))
+        share = n.select(*key, "__variant", (words(F.col("__upto")) - words(F.col("__upto") - F.col("__n"))).alias("__taken"))
+        one = variant.drop("__taken", "__rows").dropDuplicates([*key, "__variant"])
+        met = met.unionByName(_met(one, share, [*key, "__variant"]).select(*columns, *key, "__size", "__taken"))
+    full, part = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    met = met.withColumn("_cut", F.explode(copies))
-    return met.select(*columns, "_cut").mapInArrow(_heads(columns), docs.schema)
+    met = met.withColumn("__cut", F.explode(copies))
+    return met.select(*columns, "__cut").mapInArrow(_heads(columns), docs.schema)
+
+
+def _met(rows: DataFrame, plan: DataFrame, key: list[str]) -> DataFrame:
+    """rows with what the plan says of their key; nulls are equal."""
+    p = plan.withColumnsRenamed({k: f"{k}_of" for k in key})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in key]
+    return rows.join(p, on).drop(*[f"{k}_of" for k in key])
 
 
 def _heads(columns: list[str]):
-    """Texts up to the end of their _cut-th word, whole ones where it is -1; one row a source is cut at most."""
+    """Texts up to the end of their __cut-th word, whole ones where it is -1; one row a source is cut at most."""
 
     def run(batches):
         for b in batches:
             kept = []
-            for t, k in zip(b.column("text").to_pylist(), b.column("_cut").to_pylist(), strict=True):
+            for t, k in zip(b.column("text").to_pylist(), b.column("__cut").to_pylist(), strict=True):
                 kept.append(t if k < 0 else t[: next(itertools.islice(_WORD.finditer(t), k - 1, None)).end()])
             new = {"text": pa.array(kept, b.schema.field("text").type)}
             if "n_chars" in columns:

@@ -4,6 +4,7 @@ import math
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from inkplane.llm import licenses, mixing, pii
 
@@ -196,12 +197,19 @@ def test_mix_meets_each_target(documents):
 
 
 def test_mixed_documents_hold_the_taken_words(documents, spark):
-    taken = {s: 0 for s in range(1)}
-    out = mixing.mixed_documents(documents)
-    assert out.columns == documents.columns
-    want = sum(r.taken for r in mixing.mix(documents).collect())
-    taken = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect())
-    assert abs(taken - want) <= 3
+    assert mixing.mixed_documents(documents).columns == documents.columns
+    words = lambda rows: collections.Counter({k: n for k, n in sums(rows).items() if n})
+
+    def sums(rows):
+        out = collections.Counter()
+        for k, n in rows:
+            out[k] += n
+        return out
+
+    copies = documents.where("doc_id = 27").limit(1)
+    for docs in (documents, documents.unionByName(copies).unionByName(copies).unionByName(copies.withColumn("lang", F.lit("fr")))):
+        want = words((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
+        assert words((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))) for r in mixing.mixed_documents(docs).collect()) == want
 
 
 def test_empty_tables(documents):
