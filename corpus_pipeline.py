@@ -4,18 +4,18 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes wh
 one reads it. All but the last return the columns of documents.
 
 1. quality: documents that the classifier scores below its threshold go.
-2. near_duplicates: of each group of linked documents the one of smallest doc_id stays, once where rows repeat
-   a doc_id. Documents without words link with nothing and stay, as do rows of null doc_id.
+2. near_duplicates: of each group of linked texts the one of smallest doc_id stays (null last), once. Texts that
+   are not linked are of different groups, also under one doc_id. Documents without words link with nothing and stay.
 3. pii: spans of personal data are masked by their kind.
 4. mix: documents are taken as often as the mix takes them, each source up to its exact budget; the last one of
    a source is cut after the budget's word.
-5. encode: doc_id, source, n_pieces and the ids of the pieces.
+5. encode: doc_id, source, n_pieces, the ids of the pieces and the SHA-256 of the text they decode to.
+
+Every stage takes nulls in any column, empty tables and columns of its own besides; see the operators' docstrings.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -28,12 +28,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.join(docs)
-    away = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.where("doc_id is not null").join(away, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    left = left.withColumn("_first", first).where("_first = 1")
-    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    words = jaccard_join.groups(docs).where("n_shingles > 0").select("group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("who")).distinct()
+    stays = words.groupBy("group").agg(F.min("who").alias("stays"))
+    away = words.join(stays, "group").where("who <> stays").select(F.struct(F.col("who.doc_id").alias("id"), F.col("who.digest").alias("digest")).alias("__who"))
+    text = F.col("text").cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = docs.withColumn("__who", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("digest")))
+    left = left.withColumn("__copy", F.when(~worded, F.monotonically_increasing_id()).otherwise(-1)).join(away, "__who", "left_anti")
+    first = F.row_number().over(Window.partitionBy("__who", "__copy").orderBy(F.xxhash64(*docs.columns)))
+    return left.withColumn("__first", first).where("__first = 1").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, keep=("source",)).select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    return pieces.encoded(docs, keep=("source",))
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicates_stage), ("pii", pii_stage), ("mix", mix_stage), ("encode", encode_stage)]
@@ -56,10 +59,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    top = f"{common.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
+    before = None
+    for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        path = f"{top}/{k}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        path = common.scratch(spark, f"pipeline-{name}")
+        out.write.parquet(f"{path}/rows")
+        docs = spark.read.schema(out.schema).parquet(f"{path}/rows")
+        if before:
+            common.remove(spark, before)  # the stage that read it is written
+        before = path
     return docs
