@@ -26,22 +26,11 @@ def _arrow_model(path: str):
     return models.session(path)[0]
 
 
-def _cleaned(img, more):
-    import numpy as np
-
-    from .operators import models, sheets
-
-    if more.get("model_error"):
-        raise RuntimeError(more["model_error"])
-    polys = [np.array([(p["x"], p["y"]) for p in t["poly"]]) for t in more.get("texts") or ()]
-    strips = more.get("strips")
-    return sheets.clean(img, polys, models.painted(strips, *img.shape[:2]) if strips else None)
-
-
 def _clean(path, img, more, out, plot=False):
+    from .operators import sheets
     from .sources import images
 
-    done = _cleaned(img, more)
+    done = sheets.cleaned(img, more)
     names = [images.save(f"{out}/{images.stem(path)}.png", done["clean"])]
     if plot:
         names.append(images.save(f"{out}/{images.stem(path)}_plot.png", done["plot"]))
@@ -52,7 +41,7 @@ def _views(path, img, more, out, size=None):
     from .operators import sheets
     from .sources import images
 
-    pictures = [v["picture"] for v in _cleaned(img, more)["views"]]
+    pictures = [v["picture"] for v in sheets.cleaned(img, more)["views"]]
     if size:
         pictures = sheets.crops(pictures, size)
     return {"views": len(pictures), "files": [images.save(f"{out}/{images.stem(path)}_{k}.png", p) for k, p in enumerate(pictures)]}

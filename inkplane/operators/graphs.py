@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..kernels.raster import united
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the shared folder that spark.checkpoint.dir names; a local folder where none is set."""
+    """df cut from its lineage in the shared folder that spark.checkpoint.dir names; a local folder only where none is set and all runs in one process."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -23,19 +29,55 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+#: Links that a task gathers before it hands on their forest.
+_TOGETHER = 1 << 20
+
+
+def _forests(batches):
+    """The links of a task as stars around smallest nodes: as connected as they were, and fewer."""
+
+    def out(held):
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        root = united(len(nodes), at[: len(a)], at[len(a) :])
+        hung = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[root[hung]])], names=["a", "b"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append((b.column("a").to_numpy(), b.column("b").to_numpy()))
+        n += b.num_rows
+        if n > _TOGETHER:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component), the component being its smallest node: smallest labels spread and labels are followed to labels until nothing changes."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("l")).withColumnRenamed("a", "node"))
+    """(node, component), the component being its smallest node.
+
+    Each task turns its links into stars. Then, round by round, every node's larger neighbours are hung on its smallest neighbour,
+    and its smaller ones after them, until stars are all that is left; minima are combined before they are shuffled.
+    """
+    kind = dict(edges.dtypes)["a"]
+    ends = checkpointed(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    known = checkpointed(ends.where("a <> b").mapInArrow(_forests, "a long, b long").distinct())
+    mark = None
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        spread = label.join(near, label["node"] == near["a"]).select("node", F.least("l", "m").alias("l"))
-        jump = spread.select(F.col("node").alias("l"), F.col("l").alias("ll"))
-        new = checkpointed(spread.join(jump, "l").select("node", F.col("ll").alias("l")))
-        changed = new.join(label.withColumnRenamed("l", "old"), "node").where("l <> old").isEmpty()
-        label = new
-        if changed:
-            return label.select("node", F.col("l").alias("component"))
+        now = known.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        if now == mark or not now[0]:
+            break
+        mark = now
+        both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        up = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        low = up.groupBy("a").agg(F.min("b").alias("m"))
+        down = up.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        known = checkpointed(down.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+    named = known.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    alone = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left")
+    return alone.select(F.col("node").cast(kind).alias("node"), F.coalesce("component", "node").cast(kind).alias("component"))
 
 
 def duplicate_edges(edges: DataFrame) -> DataFrame:
@@ -46,8 +88,8 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
 def without_duplicates(branches: DataFrame) -> DataFrame:
     """Branches (branch, a, b, n_points) but those of two points that run parallel to another one."""
     w = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b"))
-    d = branches.withColumn("_n", F.count("*").over(w)).withColumn("_first", F.row_number().over(w.orderBy(F.desc("n_points"), "branch")))
-    return d.where((F.col("n_points") > 2) | (F.col("_n") == 1) | (F.col("_first") == 1)).drop("_n", "_first")
+    d = branches.withColumn("_n", F.count("*").over(w))
+    return d.where((F.col("n_points") > 2) | (F.col("_n") == 1)).drop("_n")
 
 
 def is_bridge(inner: Column, da: Column, db: Column, dist_a: Column, dist_b: Column, a: Column, b: Column) -> Column:

@@ -30,7 +30,9 @@ def clip_to_tiles(polygons: DataFrame, tiles: DataFrame, min_area: float = 0.5)
     xs, ys = F.transform("poly", lambda p: p["x"]), F.transform("poly", lambda p: p["y"])
     d = polygons.select("*", F.array_min(xs).alias("px0"), F.array_max(xs).alias("px1"), F.array_min(ys).alias("py0"), F.array_max(ys).alias("py1"))
     met = d.join(tiles, "sheet_id").where("px0 < x1 and px1 > x0 and py0 < y1 and py1 > y0")
-    met = met.withColumn("cut", G.clip(F.col("poly"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).where("cut is not null")
+    # exploded, so that no later filter or column clips again
+    cut = F.array(G.clip(F.col("poly"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    met = met.withColumn("cut", F.explode(F.filter(cut, lambda c: c.isNotNull())))
     share = G.polygon_area(F.col("cut")) / G.polygon_area(F.col("poly"))
     return met.select("sheet_id", "tile_id", "obj_id", "cls", "cut", share.alias("share")).withColumn("kept", F.col("share") >= min_area)
 
@@ -48,25 +50,31 @@ def sample_background(tiles: DataFrame, ratio: float = 0.25, seed: int = 0) -> D
     return tiles.where("kind = 'background'").orderBy(F.xxhash64(F.lit(seed), "sheet_id", "tile_id"), "sheet_id", "tile_id").limit(n)
 
 
-#: Sheets up to which every split is tried.
-MOST_SHEETS = 20
+#: Sheets up to which every split is tried, and splits drawn beyond.
+MOST_SHEETS, TRIALS = 12, 5000
 
 
-def choose_validation(counts: DataFrame, share: float = 0.2) -> DataFrame:
-    """(mask, n): the proper subset of sheets, as bits in order of name, whose objects come nearest to a share; the smallest mask of equals.
+def choose_validation(counts: DataFrame, share: float = 0.2, seed: int = 0) -> DataFrame:
+    """(names, n): the proper subset of sheets whose objects come nearest to a share, and how many they are.
 
-    Every subset is one row of a range: 2^n rows for n sheets, so n is limited.
+    Up to MOST_SHEETS sheets every subset is tried, of equals the one of least bits in order of name. Beyond, TRIALS subsets are drawn: a
+    trial takes each sheet with a chance of its own, by hashes of the seed, so reruns agree.
     """
     spark = counts.sparkSession
-    rows = counts.orderBy("name").limit(MOST_SHEETS + 1).collect()
-    if not 2 <= len(rows) <= MOST_SHEETS:
-        raise ValueError(f"between 2 and {MOST_SHEETS} sheets can be split this way")
-    n = F.lit(0)
-    for i, r in enumerate(rows):
-        n = n + F.when(F.col("id").bitwiseAND(1 << i) != 0, r["n"]).otherwise(0)
-    total = sum(r["n"] for r in rows)
-    d = spark.range(1, (1 << len(rows)) - 1).withColumn("n", n.cast("long"))
-    return d.agg(F.min_by(F.struct("id", "n"), F.struct(F.abs(F.col("n") - F.lit(share * total)), "id")).alias("b")).select(F.col("b.id").alias("mask"), F.col("b.n").alias("n"))
+    some = counts.orderBy("name").limit(MOST_SHEETS + 1).collect()
+    if len(some) < 2:
+        raise ValueError("two sheets at least can be split")
+    total = F.broadcast(counts.agg(F.sum("n").alias("total"), F.count("*").alias("sheets")))
+    if len(some) <= MOST_SHEETS:
+        listed = spark.createDataFrame([(i, r["name"], r["n"]) for i, r in enumerate(some)], "bit int, name string, n long")
+        trial = spark.range(1, (1 << len(some)) - 1).crossJoin(F.broadcast(listed)).where(F.expr("shiftright(id, bit) & 1 = 1"))
+    else:
+        chance = lambda *of: (F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 20)) + 0.5) / (1 << 20)
+        trial = counts.select("name", "n").crossJoin(F.broadcast(spark.range(TRIALS))).where(chance("id", "name") < chance("id"))
+    sums = trial.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("taken"), F.array_sort(F.collect_list("name")).alias("names")).crossJoin(total).where("taken < sheets")
+    off = F.abs(F.col("n") - F.lit(share) * F.col("total"))
+    best = sums.agg(F.min_by(F.struct("names", "n"), F.struct(off, "id")).alias("b"))
+    return best.where("b is not null").select("b.names", F.col("b.n").alias("n"))
 
 
 def class_coverage(objects: DataFrame, n_classes: int) -> DataFrame:
@@ -90,12 +98,3 @@ def object_counts(objects: DataFrame) -> DataFrame:
 def as_line(cls: Column, poly: Column) -> Column:
     """A label line: the class and the points with six digits."""
     return F.concat_ws(" ", cls.cast("string"), F.array_join(F.transform(poly, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), " "))
-
-
-def write_split(sheets: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A data set by part: a non-empty destination is refused unless it may be overwritten."""
-    sheets.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("part").parquet(f"{path}/sheets")
-    manifest = sheets.groupBy("part").agg(F.count("*").alias("sheets")).select(F.to_json(F.struct("part", "sheets")).alias("value"))
-    manifest.write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/split")
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,7 +47,7 @@ def density(levels: DataFrame, bandwidth: float = 0.05, points: int = 600, by: l
     ends = l.groupBy(*by).agg((F.min("u") - 3 * bandwidth).alias("lo"), (F.max("u") + 3 * bandwidth).alias("hi"))
     grid = ends.select(*by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     grid = grid.select(*by, "i", (F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("g"))
-    met = grid.join(l, by) if by else grid.crossJoin(F.broadcast(l))
+    met = grid.join(l, by) if by else l.crossJoin(F.broadcast(grid))  # `points` rows
     z = (F.col("g") - F.col("u")) / bandwidth
     raw = met.groupBy(*by, "i", "g").agg(F.sum(F.col("w") * F.exp(-z * z / 2)).alias("raw")).withColumn("at", F.exp("g"))
     w = Window.partitionBy(*by).orderBy("i")
@@ -64,9 +64,7 @@ def peaks(dens: DataFrame, prominence: float = 0.05, by: list[str] | None = None
     w = Window.partitionBy(*by).orderBy("i")
     d = dens.withColumn("up", F.lag("dens").over(w)).withColumn("down", F.lead("dens").over(w))
     tops = d.where((F.col("dens") > F.col("up")) & (F.col("dens") > F.col("down"))).select(*by, "i", "at", "dens")
-    every = Window.partitionBy(*by).orderBy("i")
-    line = F.collect_list(F.struct("i", "dens")).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    whole = dens.withColumn("line", line).groupBy(*by).agg(F.first("line").alias("line"))
+    whole = dens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "dens"))).alias("line"))  # a row a density, of as many points
     met = tops.join(whole, by) if by else tops.crossJoin(F.broadcast(whole))
     low = lambda side: F.aggregate(
         side, F.struct(F.col("dens").alias("low"), F.lit(False).alias("done")),
@@ -110,6 +108,37 @@ def weighted_median(values: DataFrame, value: str, weight: str, by: list[str]) -
     return v.where(F.col("_c") >= F.col("_t") / 2).groupBy(*by).agg(F.min(value).alias("median"))
 
 
+def two_medians(values: DataFrame, value: str, weight: str, by: list[str], rounds: int = 20) -> DataFrame:
+    """(low, high, threshold) of weighted values: from Otsu's cut, the middle of the weighted medians of both sides is the next cut, until it stays.
+
+    A group's distinct values are one sorted array, folded in the JVM; a group of one value has its median on both sides.
+    """
+    v = values.groupBy(*by, value).agg(F.sum(weight).alias("w"))
+    lists = v.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("w").cast("double").alias("w")))).alias("vs"))
+    start = weighted_otsu(values, value, weight, by).select(*by, F.col("threshold").cast("double").alias("cut"))
+
+    def median(part: Column) -> Column:
+        total = F.aggregate(part, F.lit(0.0), lambda s, x: s + x["w"])
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("m"))
+        step = lambda half: lambda s, x: F.struct((s["s"] + x["w"]).alias("s"), F.when(s["m"].isNull() & (s["s"] + x["w"] >= half), x["v"]).otherwise(s["m"]).alias("m"))
+        return F.get(F.transform(F.array(total / 2), lambda half: F.aggregate(part, zero, step(half))["m"]), F.lit(0))
+
+    def cut(c: Column) -> Column:
+        low, high = median(F.filter("vs", lambda x: x["v"] <= c)), median(F.filter("vs", lambda x: x["v"] > c))
+        return F.struct(F.coalesce(low, high).alias("low"), F.coalesce(high, low).alias("high"))
+
+    first = F.struct(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.coalesce("cut", F.element_at("vs", -1)["v"]).alias("cut"), F.lit(False).alias("done"))
+
+    def step(s, _):
+        pair = F.get(F.transform(F.array(s["cut"]), cut), F.lit(0))
+        new = F.get(F.transform(F.array(pair), lambda p: F.struct(p["low"].alias("low"), p["high"].alias("high"), ((p["low"] + p["high"]) / 2).alias("cut"), ((p["low"] + p["high"]) / 2 == s["cut"]).alias("done"))), F.lit(0))
+        return F.when(s["done"], s).otherwise(new)
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
+    d = lists.join(start, by, "left").withColumn("end", end)
+    return d.select(*by, F.col("end.low").alias("low"), F.col("end.high").alias("high"), F.col("end.cut").alias("threshold"))
+
+
 def weighted_otsu(values: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
     """(threshold, between): cut of weighted values with most variance between, the lower of equals; a value at the cut is below."""
     v = values.groupBy(*by, value).agg(F.sum(weight).alias("_w"))

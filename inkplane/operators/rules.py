@@ -9,17 +9,26 @@ from pyspark.sql import functions as F
 def text_components(parts: DataFrame, polygons: DataFrame, boxes: DataFrame) -> DataFrame:
     """Components that are text: more than half of their pixels in the union of text polygons, or all of them in one widened box.
 
-    parts: sheet_id, y, x, component; polygons, boxes: sheet_id, id, x0, y0, x1, y1 half-open, few a sheet.
+    parts: sheet_id, y, x, component; polygons, boxes: sheet_id, id, x0, y0, x1, y1 half-open. A pixel meets the boxes of its grid cell.
     """
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    cell = lambda c: F.floor(F.col(c) / _CELL)
+    at = parts.withColumn("gx", cell("x")).withColumn("gy", cell("y"))
+    span = lambda lo, hi: F.explode(F.sequence(cell(lo), F.greatest(cell(lo), F.floor((F.col(hi) - 1) / _CELL))))
+    dealt = lambda b: b.withColumn("gx", span("x0", "x1")).withColumn("gy", span("y0", "y1"))
+    under = lambda b: at.join(dealt(b), ["sheet_id", "gx", "gy"]).where(inside)
     area = parts.groupBy("sheet_id", "component").agg(F.count("*").alias("area"))
-    covered = parts.join(polygons, "sheet_id").where(inside).select("sheet_id", "component", "y", "x").distinct().groupBy("sheet_id", "component").agg(F.count("*").alias("n"))
+    covered = under(polygons).select("sheet_id", "component", "y", "x").distinct().groupBy("sheet_id", "component").agg(F.count("*").alias("n"))
     half = covered.join(area, ["sheet_id", "component"]).where("2 * n > area")
-    held = parts.join(boxes, "sheet_id").where(inside).groupBy("sheet_id", "component", "id").agg(F.count("*").alias("n"))
+    held = under(boxes).groupBy("sheet_id", "component", "id").agg(F.count("*").alias("n"))
     whole = held.join(area, ["sheet_id", "component"]).where("n = area")
     return half.select("sheet_id", "component").unionByName(whole.select("sheet_id", "component")).distinct()
 
 
+#: Side of the grid cells in which pixels meet text boxes.
+_CELL = 32
+
+
 def majority_segment(path_pixels: DataFrame, labels: DataFrame) -> DataFrame:
     """(sheet_id, path_id, seg_id): the segment most of a path's pixels lie on, the smallest of equals; 0 where none does."""
     met = path_pixels.join(labels.where("seg_id > 0"), ["sheet_id", "y", "x"]).groupBy("sheet_id", "path_id", "seg_id").agg(F.count("*").alias("n"))
@@ -42,8 +51,15 @@ def owners(seg_pixels: DataFrame, hull_pixels: DataFrame) -> DataFrame:
 
 
 def paint_order(hulls: DataFrame) -> DataFrame:
-    """Which hull shows at each pixel when large ones are painted first: the last one painted, ties to the larger id."""
-    return hulls.groupBy("sheet_id", "y", "x").agg(F.min_by("hull", F.struct("area", -F.col("hull"))).alias("hull"))
+    """Which hull shows at each pixel when small ones are painted first: the largest one over it, the larger id of equals."""
+    return hulls.groupBy("sheet_id", "y", "x").agg(F.max_by("hull", F.struct("area", "hull")).alias("hull"))
+
+
+def with_text(holes: DataFrame, centres: DataFrame) -> DataFrame:
+    """(sheet_id, hole, text): whether the centre of a text lies on a pixel of each hole. holes: sheet_id, hole, y, x; centres: sheet_id, y, x."""
+    at = centres.select("sheet_id", F.floor(F.col("y")).cast("int").alias("y"), F.floor(F.col("x")).cast("int").alias("x"), F.lit(True).alias("here")).distinct()
+    met = holes.join(at, ["sheet_id", "y", "x"], "left")
+    return met.groupBy("sheet_id", "hole").agg(F.coalesce(F.bool_or("here"), F.lit(False)).alias("text"))
 
 
 def tables(cells: DataFrame, min_cells: int = 2) -> DataFrame:

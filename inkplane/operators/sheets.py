@@ -315,3 +315,14 @@ def clean(img: np.ndarray, polys: list[np.ndarray] = (), arrows: np.ndarray | No
     views = [v | {"picture": cut_out(img, v)} for v in views]
     boxes = [v["box"] for v in views]
     return {"clean": np.where(mask[..., None] > 0, img, 255).astype(np.uint8), "mask": mask, "views": views, "boxes": boxes, "scale": scale, "plot": plot(img, mask, boxes), "segments": seg}
+
+
+def cleaned(img: np.ndarray, found: dict, p: Cleaning = Cleaning()) -> dict:
+    """clean() with what models found on the sheet: columns texts, strips and model_error of models.with_models."""
+    from .models import painted
+
+    if found.get("model_error"):
+        raise RuntimeError(found["model_error"])
+    polys = [np.array([(q["x"], q["y"]) for q in t["poly"]]) for t in found.get("texts") or ()]
+    strips = found.get("strips")
+    return clean(img, polys, painted(strips, *img.shape[:2]) if strips else None, p)

@@ -74,10 +74,11 @@ def label_parse(spark, d):
     return p.select("name", F.coalesce("cls", F.lit(-1)).alias("cls"), "error", F.when(F.col("error").isNull(), F.size("poly")).otherwise(0).alias("points"), F.coalesce(F.round(total, 6), F.lit(0.0)).alias("total"))
 
 
-@query("""with c as (select row_number() over (order by 's' || label) - 1 as i, count(*) as n from embeddings group by label), s as (select m, sum(case when (m >> i) & 1 = 1 then n else 0 end)::bigint as n from range(1, 1023) r(m), c group by m)
-select m as mask, n from s order by abs(n - 0.2 * (select sum(n) from c)), m limit 1""")
+@query("""with c as (select 's' || label as name, row_number() over (order by 's' || label) - 1 as i, count(*) as n from embeddings group by label),
+s as (select m, sum(n)::bigint as n, string_agg(name, ',' order by name) as names from range(1, 1023) r(m), c where (m >> i) & 1 = 1 group by m)
+select names, n from s order by abs(n - 0.2 * (select sum(n) from c)), m limit 1""")
 def val_split(spark, d):
-    return labels.choose_validation(labels.object_counts(views.sketch(spark, d)))
+    return labels.choose_validation(labels.object_counts(views.sketch(spark, d))).select(F.array_join("names", ",").alias("names"), "n")
 
 
 @query("select case when p_partkey % 5 = 0 then 'val' else 'train' end as part, array_to_string(list_filter([0, 1, 2, 3, 4, 5, 6, 7, 8, 9], lambda c: not list_contains(list(p_size % 7), c)), ',') as missing from part group by 1")

@@ -104,6 +104,21 @@ def weighted_otsu(spark, d):
     return _r(levels.weighted_otsu(l, "q", "w", ["flag"]), "between")
 
 
+_HALVES = "(select min(v) from (select v, sum(w) over (order by v) as c, sum(w) over () as t from (select unnest(vs, recursive := true)) where v {} cut) where c >= t / 2)"
+
+
+@query(f"""with recursive v as (select l_returnflag as flag, l_quantity::double as v, sum(l_extendedprice)::double as w from lineitem group by all),
+c as (select flag, v as q, sum(w) over k as w0, sum(w * v) over k as m0, sum(w) over (partition by flag) as w, sum(w * v) over (partition by flag) as m, lead(v) over k as nx from v window k as (partition by flag order by v)),
+o as (select flag, q as cut from (select flag, q, w0 * (w - w0) / (w * w) * pow(m0 / w0 - (m - m0) / (w - w0), 2) as b from c where nx is not null) qualify row_number() over (partition by flag order by round(b, 9) desc, q) = 1),
+vs as (select flag, list({{'v': v, 'w': w}} order by v) as vs from v group by flag),
+r(flag, vs, cut, low, high, k) as (select flag, vs, cut, null::double, null::double, 0 from vs join o using (flag) union all
+  select flag, vs, (lo + hi) / 2, lo, hi, k + 1 from (select flag, vs, cut, k, {_HALVES.format("<=")} as lo, {_HALVES.format(">")} as hi from r where k < 20 and (low is null or (low + high) / 2 = cut)))
+select flag, low, high, cut as threshold from r qualify row_number() over (partition by flag order by k desc) = 1""")
+def two_medians(spark, d):
+    l = views.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("w"))
+    return levels.two_medians(l, "q", "w", ["flag"])
+
+
 @query(f"with {views.PROFILE}, m as (select *, median(t) over (partition by path) as m from profile) select path, round(any_value(m), 6) as median, round(median(abs(t - m)) * 1.4826, 6) as mad from m group by path")
 def mad_by_group(spark, d):
     return _r(levels.mad(views.profile(spark, d), "t", ["path"]), "median", "mad")
@@ -160,7 +175,16 @@ def level_cut_once(spark, d):
     return _r(profiles.best_cut(p), "score", "gap").withColumn("cut", F.col("cut").cast("long"))
 
 
-@query()
+_CUTS = f"""{views.PROFILE}, l as (select path, row_number() over (partition by path order by ord) as i, ln(greatest(t / 20, 1)) as l from profile),
+ls as (select path, list(l order by i) as ls from l group by path),
+piece(path, ls, a, b, cut) as (select path, ls, 0::bigint, len(ls)::bigint, null::bigint from ls
+  union all
+  select path, ls, unnest([a, a - e.k]), unnest([a - e.k, b]), a - e.k from (select path, ls, a, b, list_aggregate(list_transform(list_filter(range(1, n), lambda i: i >= m and n - i >= m),
+      lambda i: {{'s': round(sqrt(i * (n - i) / n::double) * abs(list_sum(x[1:i]) / i - list_sum(x[i + 1:]) / (n - i)), 9), 'k': -i, 'g': abs(list_sum(x[1:i]) / i - list_sum(x[i + 1:]) / (n - i))}}), 'max') as e
+    from (select path, ls, a, b, ls[a + 1 : b] as x, b - a as n, ceil(3 * exp(list_aggregate(ls[a + 1 : b], 'median'))) as m from piece)) where e.g > ln(1.3))"""
+
+
+@query(f"with recursive {_CUTS} select distinct path, cut from piece where cut is not null")
 def level_cuts_full(spark, d):
     return profiles.level_cuts(views.profile(spark, d).withColumn("t", F.col("t") / 20))
 

@@ -66,6 +66,42 @@ def owner_argmax(spark, d):
     return rules.owners(lab.where("seg_id > 0"), hull).select("sheet_id", F.col("seg_id").cast("long").alias("seg_id"), F.col("owner").cast("long").alias("owner"))
 
 
+_HULLS = "hulls as (select sheet_id, y, x, 1 + k as hull, 10 + (sheet_id + k * k) % 3 as area from px, (values (0), (1), (2)) v(k) where x >= k and x < k + 5 and y >= (sheet_id + k) % 3 and y < 5 + k)"
+
+
+def _hulls(spark, d):
+    h = views.px(spark, d).select("sheet_id", "y", "x", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    h = h.where("x >= k and x < k + 5 and y >= (sheet_id + k) % 3 and y < 5 + k")
+    return h.selectExpr("sheet_id", "y", "x", "1 + k as hull", "10 + (sheet_id + k * k) % 3 as area")
+
+
+@query(f"with {views.PX}, {_HULLS} select sheet_id, y::int as y, x::int as x, hull::bigint as hull from hulls qualify row_number() over (partition by sheet_id, y, x order by area desc, hull desc) = 1")
+def hull_paint(spark, d):
+    return rules.paint_order(_hulls(spark, d)).select("sheet_id", "y", "x", F.col("hull").cast("long").alias("hull"))
+
+
+@query(f"""with {_LABELS}, {_HULLS}, top as (select * from hulls qualify row_number() over (partition by sheet_id, y, x order by area desc, hull desc) = 1), seg as (select * from lab where seg_id > 0),
+a as (select sheet_id, seg_id, count(*) as area from seg group by all), n as (select s.sheet_id, seg_id, hull, count(*) as n from seg s join top using (sheet_id, y, x) group by all),
+b as (select * from n qualify row_number() over (partition by sheet_id, seg_id order by n desc, hull) = 1)
+select sheet_id, seg_id::bigint as seg_id, (case when 2 * n > area then hull else 0 end)::bigint as owner from a left join b using (sheet_id, seg_id)""")
+def painted_owners(spark, d):
+    lab, _ = _labels(spark, d)
+    shown = rules.paint_order(_hulls(spark, d))
+    return rules.owners(lab.where("seg_id > 0"), shown).select("sheet_id", F.col("seg_id").cast("long").alias("seg_id"), F.col("owner").cast("long").alias("owner"))
+
+
+_HOLES = "hole as (select sheet_id, 1 + (x // 3 + 2 * (y // 3)) % 5 as hole, y, x from px where v > 150), centre as (select sheet_id, 1.5 + (sheet_id + k) % 6 as cy, 0.25 + (2 * sheet_id + 3 * k) % 8 as cx from (select distinct sheet_id from px), (values (0), (1)) v(k))"
+
+
+@query(f"with {views.PX}, {_HOLES}, t as (select h.sheet_id, hole, bool_or(cy is not null) as text from hole h left join centre c on c.sheet_id = h.sheet_id and floor(cy) = y and floor(cx) = x group by all) select sheet_id, count(*)::bigint as holes, count(*) filter (where not text)::bigint as free from t group by sheet_id")
+def free_holes(spark, d):
+    p = views.px(spark, d)
+    holes = p.where("v > 150").selectExpr("sheet_id", "1 + (x div 3 + 2 * (y div 3)) % 5 as hole", "y", "x")
+    centres = p.select("sheet_id").distinct().selectExpr("sheet_id", "explode(array(0, 1)) as k").selectExpr("sheet_id", "1.5 + (sheet_id + k) % 6 as y", "0.25 + (2 * sheet_id + 3 * k) % 8 as x")
+    t = rules.with_text(holes, centres)
+    return t.groupBy("sheet_id").agg(F.count("*").alias("holes"), F.count_if(~F.col("text")).alias("free"))
+
+
 @query(f"with {views.SEGMENT} select sheet_id, n_thin as component, count(*)::bigint as cells, count(*) filter (where small or free = 1)::bigint as good from segment group by all having count(*) >= 2 and 2 * count(*) filter (where small or free = 1) > count(*)")
 def table_rule(spark, d):
     c = views.segment(spark, d).select("sheet_id", F.col("n_thin").alias("component"), (F.col("small") | (F.col("free") == 1)).alias("good"))

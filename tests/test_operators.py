@@ -111,11 +111,21 @@ def test_components_chains_and_matching(spark):
 def test_validation_split_is_the_nearest(spark):
     d = spark.createDataFrame([("aa", 4), ("bb", 3), ("cc", 2), ("dd", 1)], "name string, n long")
     r = labels.choose_validation(d, 0.2).first()
-    assert r.n == 2 and r["mask"] == 4
+    assert r.n == 2 and r.names == ["cc"]
     with pytest.raises(ValueError):
         labels.choose_validation(d.where("name = 'aa'"))
 
 
+def test_validation_split_of_many_sheets_is_drawn(spark):
+    rows = [(f"s{i:03}", 1 + i % 7) for i in range(60)]
+    d = spark.createDataFrame(rows, "name string, n long")
+    total = sum(n for _, n in rows)
+    got = [labels.choose_validation(d, 0.2, seed).first() for seed in (0, 0, 1)]
+    assert got[0] == got[1] and 0 < len(got[0].names) < 60
+    for r in got:
+        assert r.n == sum(n for s, n in rows if s in r.names) and abs(r.n - 0.2 * total) <= 2
+
+
 def test_search_strategies(spark):
     rnd = np.random.default_rng(0)
     v = rnd.standard_normal((12, 5))
@@ -151,8 +161,10 @@ def test_embeddings_round_trip(spark, tmp_path):
     assert tables.load_embeddings(spark, str(tmp_path / "e")).count() == 2
     with pytest.raises(ValueError):
         tables.save_embeddings(d.unionByName(d), str(tmp_path / "f"))
+    tables.save_embeddings(d.limit(1), str(tmp_path / "e"))
+    assert tables.load_embeddings(spark, str(tmp_path / "e")).count() == 1
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
-        tables.save_embeddings(d, str(tmp_path / "e"))
+        tables.save_embeddings(d, str(tmp_path / "e"), overwrite=False)
 
 
 def test_labels_from_files(spark, tmp_path):
@@ -169,6 +181,103 @@ def test_labels_from_files(spark, tmp_path):
     assert {r["name"]: r.error for r in tables.with_labels(sheets, tables.read_labels(spark, str(tmp_path / "l"), 2)).collect()} == {"x": None, "z": "no labels: z"}
 
 
+@pytest.fixture
+def export(tmp_path):
+    """Six sheets with two classes; d has no objects but a label file."""
+    rnd = np.random.default_rng(1)
+    src = tmp_path / "src"
+    (src / "labels").mkdir(parents=True)
+    (src / "classes.txt").write_text("arrow\nbox\n")
+    objects = {"a-1": [(0, 0.1, 0.1, 0.05), (1, 0.5, 0.5, 0.1)], "a-2": [(0, 0.9, 0.9, 0.08), (1, 0.2, 0.7, 0.02)], "b-3": [(1, 0.3, 0.3, 0.1), (0, 0.31, 0.62, 0.1)], "c": [(0, 0.4, 0.4, 0.3), (1, 0.7, 0.1, 0.05)], "d": []}
+    for name, own in objects.items():
+        images.save(str(src / "images" / f"{name}.png"), rnd.integers(0, 255, (150, 200, 3), dtype=np.uint8))
+        (src / "labels" / f"{name}.txt").write_text("".join(f"{c} {x} {y} {x + s} {y} {x + s} {y + s}\n" for c, x, y, s in own))
+    images.save(str(src / "images" / "._a-1.png"), np.zeros((2, 2, 3), np.uint8))
+    return src, objects
+
+
+def test_data_set_of_tiles(spark, export, tmp_path):
+    import json
+
+    from inkplane.kernels import shapes
+
+    src, objects = export
+    dst = tmp_path / "out"
+    about = tables.make_dataset(spark, str(src), str(dst), tile=64, overlap=0.25, min_area=0.5, bg_ratio=0.25, val=["3"])
+    assert about["val"] == ["b-3"] and about["train"] == ["a-1", "a-2", "c", "d"] and about["objects"]["d"] == 0 and about["manual_val"]
+    assert json.loads((dst / "split.json").read_text()) == about
+    assert (dst / "data.yaml").read_text() == 'train: images/train\nval: images/val\nnames:\n  0: "arrow"\n  1: "box"\n'
+    starts = lambda n: sorted({min(k, n - 64) for k in range(0, n - 16, 48)})
+    want, empty = {}, {"train": set(), "val": set()}
+    for name, own in objects.items():
+        part = "val" if name == "b-3" else "train"
+        for y0 in starts(150):
+            for x0 in starts(200):
+                lines, partly = [], False
+                for c, x, y, s in own:
+                    p = np.array([(x, y), (x + s, y), (x + s, y + s)]) * (200, 150)
+                    cut = shapes.clip(p, (x0, y0, x0 + 64, y0 + 64))
+                    share = shapes.area(cut) / shapes.area(p) if cut is not None else 0
+                    if share >= 0.5:
+                        lines.append((c, shapes.area((cut - (x0, y0)) / 64)))
+                    partly |= 0 < share < 0.5
+                if lines:
+                    want[part, f"{name}_{x0}_{y0}"] = lines
+                elif not partly:
+                    empty[part].add(f"{name}_{x0}_{y0}")
+    files = {(p, f.stem): f for p in ("train", "val") for f in (dst / "labels" / p).iterdir()}
+    assert set(files) == {(p, f.stem) for p in ("train", "val") for f in (dst / "images" / p).iterdir()}
+    assert about["images"] == {p: sum(q == p for q, _ in files) for p in ("train", "val")}
+    found = {k: f.read_text().splitlines() for k, f in files.items()}
+    assert {k for k, v in found.items() if v} == set(want)
+    background = {p: {n for (q, n), v in found.items() if q == p and not v} for p in ("train", "val")}
+    assert background["val"] == empty["val"] and background["train"] <= empty["train"]
+    assert len(background["train"]) == min(len(empty["train"]), round(0.25 * sum(p == "train" for p, _ in want)))
+    for key, lines in want.items():
+        got = [(int(t[0]), shapes.area(np.array(t[1:], float).reshape(-1, 2))) for t in map(str.split, found[key])]
+        assert [c for c, _ in got] == [c for c, _ in lines] and np.allclose([a for _, a in got], [a for _, a in lines], atol=1e-4)
+    name, x0, y0 = (int(v) if k else v for k, v in enumerate(min(n for p, n in want if p == "train").rsplit("_", 2)))
+    whole = images.load(str(src / "images" / f"{name}.png"))
+    assert (images.load(str(dst / "images" / "train" / f"{name}_{x0}_{y0}.png")) == whole[y0 : y0 + 64, x0 : x0 + 64]).all()
+
+
+def test_data_set_of_whole_sheets_and_its_errors(spark, export, tmp_path):
+    src, objects = export
+    dst = tmp_path / "out"
+    about = tables.make_dataset(spark, str(src), str(dst), tile=None)
+    assert sorted(about["train"] + about["val"]) == sorted(objects) and sum(about["images"].values()) == 5
+    for part in ("train", "val"):
+        assert sorted(f.stem for f in (dst / "images" / part).iterdir()) == about[part] == sorted(f.stem for f in (dst / "labels" / part).iterdir())
+    (dst / "own.txt").write_text("stays")
+    with pytest.raises(ValueError, match="not empty"):
+        tables.make_dataset(spark, str(src), str(dst), tile=None)
+    tables.make_dataset(spark, str(src), str(dst), tile=64, val=["a-2"], overwrite=True)
+    assert (dst / "own.txt").exists() and all("_" in f.stem for f in (dst / "images" / "train").iterdir())
+    for how, match in ((dict(val=["9"]), "names 0"), (dict(val=["d"]), "lacks"), (dict(overlap=1.0), "range"), (dict(tile=0), "range")):
+        with pytest.raises(ValueError, match=match):
+            tables.make_dataset(spark, str(src), str(tmp_path / "new"), **how)
+    (src / "labels" / "c.txt").unlink()
+    with pytest.raises(FileNotFoundError, match="c"):
+        tables.make_dataset(spark, str(src), str(tmp_path / "new"))
+
+
+def test_components_of_long_chains_and_stars(spark):
+    import random
+
+    rnd = random.Random(3)
+    n = 3000
+    names = list(range(n))
+    rnd.shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(n - 1) if i % 500 != 499] + [(10**6, 10**6 + i) for i in range(1, 800)] + [(7 * 10**6, 7 * 10**6)]
+    d = spark.createDataFrame(edges, "a int, b int").repartition(7)
+    got = {r.node: r.component for r in graphs.connected_components(d).collect()}
+    for k in range(0, n, 500):
+        own = names[k : k + 500]
+        assert {got[i] for i in own} == {min(own)}
+    assert {got[10**6 + i] for i in range(800)} == {10**6} and got[7 * 10**6] == 7 * 10**6
+    assert dict(graphs.connected_components(d).dtypes) == {"node": "int", "component": "int"}
+
+
 def test_sheets_from_files_keep_order_and_isolate_errors(spark, tmp_path):
     from inkplane import cli
 
