@@ -39,7 +39,7 @@ def test_features_do_not_depend_on_neighbours():
 def _bytes(texts):
     import pyarrow as pa
 
-    return common.text_bytes(pa.array(texts))
+    return common.text_bytes(pa.array(texts, pa.string()))
 
 
 def test_step_and_quadrants_find_the_cut():
@@ -83,10 +83,101 @@ def test_url_empty_table(spark):
 
 
 def test_witten_bell_probabilities_add_up():
-    rnd = np.random.default_rng(3)
-    tables = {(v, w): np.zeros(urls._CELLS, np.float32) for v in ("allow", "block") for w in ("gram", "ctx", "kinds")}
-    assert (urls.Models(tables).score(*_bytes(["abc"])) == 0).all()
-    assert rnd is not None
+    """Of every context, seen or not, the 256 next bytes have probabilities that add up to one; by a plain Witten-Bell over dictionaries too."""
+    texts = [b"abcab", b"abd", b"xyz/abc", b"a"]
+    counts, seen, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for t in texts:
+        for i in range(len(t)):
+            for k in range(min(i, urls.ORDER) + 1):
+                counts[t[i - k : i + 1]] += 1
+                seen[t[i - k : i]] += 1
+                after[t[i - k : i]].add(t[i])
+    key = lambda s: int(common.span_hash(common.prefix_hash(np.frombuffer(s, np.uint8)), np.array([0]), np.array([len(s)]))[0])
+    known = {}
+    for s in {*counts, *seen}:
+        known[key(s)] = (counts[s], seen[s], len(after[s]))
+    keys = np.array(sorted(known), np.uint64)
+    values = np.array([known[int(k)] for k in keys], float).T
+    none = np.zeros(len(keys))
+    tables = {("allow", w): v for w, v in zip(("gram", "ctx", "kinds"), values, strict=True)} | {("block", w): none for w in ("gram", "ctx", "kinds")}
+    model = urls.Models(tables, keys)
+
+    def plain(context, byte):
+        q = 1 / 256
+        for k in range(min(len(context), urls.ORDER) + 1):
+            c = context[len(context) - k :]
+            if seen[c]:
+                q = (counts[c + bytes([byte])] + len(after[c]) * q) / (seen[c] + len(after[c]))
+        return q
+
+    for context in (b"", b"a", b"ab", b"abc", b"qq", b"xyz/ab", b"zzzzzzzz"):
+        lines = [context + bytes([b]) for b in range(256)]
+        off = np.arange(257) * (len(context) + 1)
+        llr = model.score(np.frombuffer(b"".join(lines), np.uint8), off) * (len(context) + 1)  # as blocked every byte has 1/256
+        before = sum(math.log(plain(context[:i], context[i]) * 256) for i in range(len(context)))
+        p = np.exp(llr - before) / 256
+        assert np.isclose(p.sum(), 1.0) and np.allclose(p, [plain(context, b) for b in range(256)])
+
+
+def test_additive_scores_are_sums_of_table_entries(documents, spark):
+    """The score of every document by hand: one bin of each feature and of each pair, looked up and added."""
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(real, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [r.text for r in documents.select("text").collect()] + [r.text for r in real.limit(40).collect()]
+    for t in texts:
+        x = quality.features(*_bytes([t]))[0]
+        bins = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        z = model.base + sum(t_[b] for t_, b in zip(model.tables, bins, strict=True))
+        for (i, j), t_ in zip(model.pairs, model.pair_tables, strict=True):
+            z += t_[bins[i] * quality.PAIR_BINS // (len(model.edges[i]) + 1)][bins[j] * quality.PAIR_BINS // (len(model.edges[j]) + 1)]
+        assert abs(model.score(x[None])[0] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-12
+    got = sorted(r.score for r in quality.score(documents, model).collect())
+    assert np.allclose(got, sorted(model.score(np.vstack([quality.features(*_bytes([t])) for t in texts[: len(got)]]))))
+
+
+def test_boosting_finds_the_best_cut_of_each_round():
+    """A tree's leaves by trying all cuts of ordered bins."""
+    rnd = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rnd.integers(2, 9))
+        g, h = rnd.normal(size=n), rnd.uniform(0.1, 1, n)
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)  # noqa: B023, E731
+        edges = [0, n]
+        for _ in range(2):
+            ways = [(gain(a, k) + gain(k, b) - gain(a, b), k) for a, b in zip(edges[:-1], edges[1:], strict=True) for k in range(a + 1, b)]
+            best = max(ways, default=(0, 0), key=lambda w: w[0])
+            if best[0] <= 1e-9:
+                break
+            edges = sorted([*edges, best[1]])
+        want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        assert np.allclose(quality._step(g, h), want)
+
+
+def test_features_by_hand():
+    """Counts of a text by plain Python."""
+    for t in ["One two  two.\nthree, FOUR! a|b c# 12 é", "x", "A A A\nA A A\n", "", "word " * 50]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        b = t.encode()
+        lines = [x for x in t.split("\n") if x]
+        letters = max(1, sum(c >= 128 or chr(c).isalpha() for c in b))
+        x = dict(zip(quality.FEATURES, quality.features(*_bytes([t]))[0], strict=True))
+        assert np.isclose(x["words"], math.log1p(len(w))) and np.isclose(x["upper"], sum(65 <= c <= 90 for c in b) / letters)
+        assert np.isclose(x["word_length"], sum(len(v.encode()) for v in w) / max(1, len(w))) and np.isclose(x["digits"], sum(48 <= c <= 57 for c in b) / max(1, len(b)))
+        assert np.isclose(x["pipes"], b.count(b"|") / max(1, len(w))) and np.isclose(x["commas"], b.count(b",") / max(1, len(w)))
+        assert np.isclose(x["same_as_before"], sum(p == q for p, q in zip(w, w[1:])) / max(1, len(w)))
+        assert np.isclose(x["distinct_words"], len(set(w)) / max(1, len(w))) and np.isclose(x["distinct_lines"], len(set(lines)) / max(1, len(lines)))
+        threes = list(zip(w, w[1:], w[2:]))
+        assert np.isclose(x["distinct_threes"], len(set(threes)) / max(1, len(threes))) and np.isclose(x["longest_word"], math.log1p(max((len(v.encode()) for v in w), default=0)))
+
+
+def test_very_long_texts(spark):
+    """Texts of 32 MB through the classifier, the spans, the licences and the sizes."""
+    from inkplane.llm import licenses, mixing, pii
+
+    d = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.expr("repeat('one word, MIT license 10.0.0.1\n', 1000000)").alias("text"))
+    model = quality.fit(d, spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+    assert quality.score(d, model).count() == 2 and pii.find_pii(d).agg(F.sum("n_ip")).first()[0] == 2_000_000
+    assert licenses.scan_licenses(d).agg(F.max("n_words")).first()[0] == 8_000_000 and mixing.mix(d).agg(F.max("size")).first()[0] == 5_000_000
 
 
 def test_url_scores_are_those_of_exact_counts(spark):

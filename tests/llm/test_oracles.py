@@ -15,8 +15,9 @@ def test_rows_are_those_of_the_sql(spark, name):
         c.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
     want = c.sql(ORACLES[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    rows = lambda t: sorted(map(repr, t.astype(object).where(t.notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
