@@ -20,9 +20,11 @@ SLICE_BYTES = 1 << 19
 
 
 def bounded(spark: SparkSession) -> None:
-    """Arrow batches of long rows stay small, whatever number of rows the session allows in one."""
-    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of long rows stay small, whatever number of rows the session allows in one; so do descriptions of plans, which the driver keeps (lookup tables are literals)."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.maxPlanStringLength", 1 << 16)):
+        given = spark.conf.get(name, None)
+        if not given or name.endswith("Length") and given == str((1 << 31) - 16):
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -195,10 +195,12 @@ class _Mask:
         return f"({m} & ~{cls.again})"
 
     @classmethod
-    def one_piece(cls, e: str) -> str:
-        return f"(m & {e}.ends) = {e}.ends AND (m & {e}.inner) = 0L"
+    def one_piece(cls, m: str, e: str) -> str:
+        return f"({m} & {e}.ends) = {e}.ends AND ({m} & {e}.inner) = 0L"
 
-    alone = "shiftright(m, i) & 3L = 3L"
+    @classmethod
+    def alone(cls, m: str) -> str:
+        return f"shiftright({m}, i) & 3L = 3L"
 
 
 class _Bytes:
@@ -232,10 +234,12 @@ class _Bytes:
         return f"concat(cast('0' AS binary), substring({m}, 2, length({m})))"
 
     @classmethod
-    def one_piece(cls, e: str) -> str:
-        return f"{cls._part('m', e)} = concat('1', repeat('0', {e}.n - 1), '1')"
+    def one_piece(cls, m: str, e: str) -> str:
+        return f"{cls._part(m, e)} = concat('1', repeat('0', {e}.n - 1), '1')"
 
-    alone = "substring(m, i + 2, 2) = cast('11' AS binary)"
+    @classmethod
+    def alone(cls, m: str) -> str:
+        return f"substring({m}, i + 2, 2) = cast('11' AS binary)"
 
 
 def _fold_merges(kind) -> str:
@@ -292,21 +296,21 @@ def _edges(units: DataFrame, v: Vocabulary, keys: list[str]) -> DataFrame:
 def lattice(units: DataFrame, v: Vocabulary, by: tuple[str, ...] = ()) -> DataFrame:
     """(unit, ids) of distinct units (with the columns `by` that partition them); of a BPE vocabulary those of up to LONG characters."""
     keys = ["unit", *by]
-    if not v.bpe:
-        return _unigram(units, v, keys)
-    short = _merged(units.where(F.length("unit") <= SHORT), v, keys, _Mask)
-    return short.unionByName(_merged(units.where((F.length("unit") > SHORT) & (F.length("unit") <= LONG)), v, keys, _Bytes))
+    return _merged(units.where(F.length("unit") <= LONG), v, keys) if v.bpe else _unigram(units, v, keys)
 
 
-def _merged(units: DataFrame, v: Vocabulary, keys: list[str], kind) -> DataFrame:
+def _merged(units: DataFrame, v: Vocabulary, keys: list[str]) -> DataFrame:
+    """By merges: boundaries are bits of a number, or bytes of longer units."""
     ends, inner = F.expr("shiftleft(1L, i) | shiftleft(1L, i + n)"), F.expr("shiftleft(shiftleft(1L, n - 1) - 1L, i + 1)")
-    edge = F.struct("rank", "i", *([inner.alias("inner"), ends.alias("ends")] if kind is _Mask else ["n"]), "id", "odd")
+    edge = F.struct("rank", "i", "n", inner.alias("inner"), ends.alias("ends"), "id", "odd")
     edges = _edges(units, v, keys).groupBy(*keys).agg(F.collect_list(F.when(F.col("n") > 1, edge)).alias("edges"))
     edges = edges.withColumn("pairs", F.array_sort("edges")).withColumn("odds", F.filter("pairs", lambda e: e["odd"]))
-    folded = edges.select(*keys, "edges", F.expr(_fold_merges(kind)).alias("m"))
-    long = f"transform(filter(edges, e -> {kind.one_piece('e')}), e -> struct(e.i AS i, e.id AS id))"
-    alone = F.transform(F.expr(f"filter(sequence(0, length(unit) - 1), i -> {kind.alone})"), lambda i: F.struct(i.alias("i"), F.get(_chars(v), F.least(F.ascii(F.call_function("substring", F.col("unit"), i + 1, F.lit(1))), F.lit(_most(v) + 1))).alias("id")))
-    return _ids(folded.select(*keys, F.array_sort(F.concat(F.expr(long), alone)).alias("left")), v, keys)
+    either = lambda bits, more: F.expr(f"CASE WHEN length(unit) <= {SHORT} THEN {bits} ELSE {more} END")
+    folded = edges.select(*keys, "edges", either(_fold_merges(_Mask), "0L").alias("m"), F.expr(f"CASE WHEN length(unit) > {SHORT} THEN {_fold_merges(_Bytes)} END").alias("mb"))
+    pieces = either(*(f"filter(edges, e -> {kind.one_piece(m, 'e')})" for kind, m in ((_Mask, "m"), (_Bytes, "mb"))))
+    alone = either(*(f"filter(sequence(0, length(unit) - 1), i -> {kind.alone(m)})" for kind, m in ((_Mask, "m"), (_Bytes, "mb"))))
+    one = F.transform(alone, lambda i: F.struct(i.alias("i"), F.get(_chars(v), F.least(F.ascii(F.call_function("substring", F.col("unit"), i + 1, F.lit(1))), F.lit(_most(v) + 1))).alias("id")))
+    return _ids(folded.select(*keys, F.array_sort(F.concat(F.transform(pieces, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id"))), one)).alias("left")), v, keys)
 
 
 def _unigram(units: DataFrame, v: Vocabulary, keys: list[str]) -> DataFrame:
@@ -347,14 +351,15 @@ def _chars(v: Vocabulary) -> Column:
 
 def decode(ids: Column, v: Vocabulary) -> Column:
     """Text of an array of ids: pieces joined, marks as spaces, the first one dropped; null for null. Bytes beyond ASCII are joined as bytes."""
-    is_byte = lambda i: v.byte0 is not None and v.byte0 <= i < v.byte0 + 256
+    is_byte = lambda i: v.byte0 <= i < v.byte0 + 256
     plain = [(chr(i - v.byte0) if i - v.byte0 < 128 else "") if is_byte(i) else t.replace(MARK, " ") for i, t in enumerate(v.texts)]
     mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in t for t in plain))
     texts = F.split(F.lit(mark.join(plain)), mark, -1)
-    hexes = F.split(F.lit(",".join(bytes([i - v.byte0]).hex() if is_byte(i) else t.encode().hex() for i, t in enumerate(plain))), ",", -1)
     whole = F.array_join(F.transform(ids, lambda i: F.get(texts, i)), "")
-    by_byte = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "UTF-8")
-    spaced = whole if v.byte0 is None else F.when(F.exists(ids, lambda i: (i >= v.byte0 + 128) & (i < v.byte0 + 256)), by_byte).otherwise(whole)
+    high = lambda i: (i >= v.byte0 + 128) & (i < v.byte0 + 256)
+    as_hex = lambda i: F.when(high(i), F.hex(i - v.byte0)).otherwise(F.hex(F.encode(F.get(texts, i), "UTF-8")))
+    by_byte = F.decode(F.unhex(F.array_join(F.transform(ids, as_hex), "")), "UTF-8")
+    spaced = F.when(F.exists(ids, high), by_byte).otherwise(whole)
     return F.regexp_replace(spaced, "^ ", "")
 
 
