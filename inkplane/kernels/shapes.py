@@ -200,6 +200,15 @@ def border(mask: np.ndarray) -> np.ndarray:
     return np.array([(x - 1, y - 1) for y, x in out])
 
 
+def extent(mask: np.ndarray) -> float:
+    """Share of its box that the outline of a component holds."""
+    ring = border(mask)
+    if not len(ring):
+        return 0.0
+    w, h = np.ptp(ring, axis=0) + 1
+    return area(ring) / float(w * h)
+
+
 def clip(poly: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray | None:
     """Intersection of a polygon with a box x0, y0, x1, y1, side by side; None where nothing of it is left."""
     p = np.asarray(poly, float)

@@ -111,7 +111,7 @@ def weighted_median(values: DataFrame, value: str, weight: str, by: list[str]) -
 def two_medians(values: DataFrame, value: str, weight: str, by: list[str], rounds: int = 20) -> DataFrame:
     """(low, high, threshold) of weighted values: from Otsu's cut, the middle of the weighted medians of both sides is the next cut, until it stays.
 
-    A group's distinct values are one sorted array, folded in the JVM; a group of one value has its median on both sides.
+    A group's distinct values are one sorted array, folded in the JVM; a group of one value has nothing to part, and nulls.
     """
     v = values.groupBy(*by, value).agg(F.sum(weight).alias("w"))
     lists = v.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("w").cast("double").alias("w")))).alias("vs"))
@@ -135,7 +135,7 @@ def two_medians(values: DataFrame, value: str, weight: str, by: list[str], round
         return F.when(s["done"], s).otherwise(new)
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
-    d = lists.join(start, by, "left").withColumn("end", end)
+    d = lists.join(start, by, "left").withColumn("end", F.when(F.col("cut").isNotNull(), end))
     return d.select(*by, F.col("end.low").alias("low"), F.col("end.high").alias("high"), F.col("end.cut").alias("threshold"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boxes, graphs, labels, levels, rasters, rules, search, sheets  # noqa: F401
+from . import boxes, graphs, labels, levels, rasters, rules, search, sheets, strokes  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -360,3 +360,36 @@ def test_arrows_shorten_what_they_cover():
     arrows[40:75, 350:400] = 255
     out = sheets.clean(img, arrows=arrows)
     assert out["mask"][54, 100] and out["mask"][100, 54]
+
+
+def test_sections_measure_a_line_at_any_angle():
+    yy, xx = np.mgrid[:120, :120]
+    for angle, t in ((0, 5), (0, 9), (30, 6), (45, 3)):
+        a = np.radians(angle)
+        ink = np.where(np.abs((yy - 60) * np.cos(a) - (xx - 60) * np.sin(a)) <= t / 2 - 0.01, 255, 0).astype(np.uint8)
+        ink[:, :10] = ink[:, 110:] = 0
+        g = _graph(ink)
+        p = max(g.paths, key=len)
+        d = p[np.minimum(np.arange(len(p)) + 3, len(p) - 1)] - p[np.maximum(np.arange(len(p)) - 3, 0)]
+        tangent = d / np.hypot(*d.T)[:, None]
+        got = lines.sections(p, tangent, ink, g.dist)
+        assert np.median(got[10:-10]) == pytest.approx(t, abs=1.1)
+    assert np.isnan(lines.sections(np.array([[60, 60]]), np.zeros((1, 2)), ink, g.dist)).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(hn.arrays(np.uint8, st.tuples(st.integers(4, 40), st.integers(4, 40)), elements=st.sampled_from([0, 255, 255])), st.integers(3, 17))
+def test_thinning_in_tiles_is_thinning(mask, tile):
+    mask[[0, -1]] = mask[:, [0, -1]] = 0
+    assert (raster.thin_in_tiles(mask, raster.distance(mask), tile) == raster.thin(mask)).all()
+
+
+def test_filled_outlines_and_their_extent():
+    m = np.zeros((40, 60), np.uint8)
+    m[5:35, 5:55] = 255
+    m[8:32, 8:52] = 0
+    assert (raster.filled(m)[5:35, 5:55] == 255).all() and raster.filled(m).sum() == 30 * 50 * 255
+    assert shapes.extent(m) == pytest.approx(1, abs=0.1)
+    cross = np.zeros((60, 60), np.uint8)
+    cross[29:31] = cross[:, 29:31] = 255
+    assert shapes.extent(cross) < 0.1 and shapes.extent(np.zeros((3, 3), np.uint8)) == 0
