@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call takes (one longer document is a slice of its own).
 SLICE_BYTES = 1 << 19
@@ -60,6 +61,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def running(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """df with the sums of columns (or of "1") over all rows before each in a total order, by name: sorted in ranges, each offset by the ranges before it."""
+    parts = partitions(df.sparkSession)
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = ranged.groupBy("__part").agg(*[F.sum(F.expr(v)).alias(f"__{k}") for k, v in values.items()])  # a row a partition
+    offsets = totals.select("__part", *[zero(F.sum(f"__{k}").over(before)).alias(f"__{k}") for k in values])
+    placed = ranged.join(F.broadcast(offsets), "__part")
+    return placed.select(*df.columns, *[(zero(F.sum(F.expr(v)).over(within)) + F.col(f"__{k}")).alias(k) for k, v in values.items()])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where, fs = _file_system(spark, path)
     fs.delete(where, True)

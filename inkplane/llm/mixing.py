@@ -54,18 +54,19 @@ def _key(source: Column) -> Column:
 def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(skey, source, source_size) with target: least(most * size, level * weight), the level being where all targets add up.
 
-    That level is where resharing the excess by weight comes to rest. The windows run over one row a source.
+    That level is where resharing the excess by weight comes to rest. Both orders, by name for the weights and by what a source could take
+    for the level, are ranges over the tasks with running sums.
     """
-    everything = Window.partitionBy()
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int"))
-    s = by_source.withColumn("i", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
-    s = s.withColumn("w", w.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    s = s.withColumn("goal", F.lit(float(share)) * F.sum("source_size").over(everything))
-    upward = everything.orderBy(F.col("cap") / F.col("w"), "i")
-    before = upward.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("level", (F.col("goal") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(upward.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    s = s.withColumn("level", F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(everything)["level"])
-    return s.select("skey", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
+    named = by_source.select("skey", "source", "source_size", F.col("source").isNull().alias("none"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    s = common.running(named, ["none", "source"], {"i": "1"}).withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    whole = s.agg((F.lit(float(share)) * F.sum("source_size")).alias("goal"), F.sum("w").alias("all_w"))
+    s = common.running(s.withColumn("ratio", F.col("cap") / F.col("w")), ["ratio", "i"], {"caps": "cap", "ws": "w"}).crossJoin(F.broadcast(whole))
+    # the level if all sources before this one are at their caps; the first that need not be shows the true one
+    s = s.withColumn("level", (F.col("goal") - F.col("caps")) / (F.col("all_w") - F.col("ws")))
+    level = s.agg(F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).alias("at")).select(F.col("at.level").alias("found"))
+    t = s.crossJoin(F.broadcast(level))
+    return t.select("skey", "source_size", F.coalesce(F.least("cap", F.col("found") * F.col("w")), F.col("cap")).alias("target"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
@@ -77,8 +78,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     keyed = keyed.withColumn("bucket", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long"))
     by_range = keyed.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("words"))
     by_source = by_range.groupBy("skey", "source").agg(F.sum("words").alias("source_size"))
-    earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_range.select("skey", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
+    ranges = common.running(by_range.select("skey", "bucket", "words"), ["skey", "bucket"], {"upto": "words"})
+    starts = ranges.groupBy("skey").agg(F.min("upto").alias("start"))
+    offsets = ranges.join(starts, "skey").select("skey", "bucket", (F.col("upto") - F.col("start")).alias("offset"))
     offsets = offsets.join(targets(by_source, weights, share, most), "skey")
     within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["skey", "bucket"])

@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -426,14 +426,10 @@ def _bounds(d: DataFrame, parts: int) -> np.ndarray:
     Documents are summed up in ranges of doc_id; a document's chunk is where the running sum before it lies.
     """
     size = d.where("doc_id is not null").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"))
-    ranged = common.cut(size.repartitionByRange(parts, "doc_id").select("doc_id", "n", F.spark_partition_id().alias("part")))
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offset = ranged.groupBy("part").agg(F.sum("n").alias("all")).withColumn("offset", F.coalesce(F.sum("all").over(whole), F.lit(0)))
-    within = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(offset.drop("all")), "part")
-    total = ranged.agg(F.sum("n")).first()[0] or 0
+    placed = common.running(size, ["doc_id"], {"before": "n"})
+    total = size.agg(F.sum("n")).first()[0] or 0
     step = max(1, min(CHUNK_BYTES, -(-total // parts)))
-    lasts = placed.groupBy(F.floor((F.col("before") + F.col("offset")) / step).alias("chunk")).agg(F.max("doc_id").alias("last"))
+    lasts = placed.groupBy(F.floor(F.col("before") / step).alias("chunk")).agg(F.max("doc_id").alias("last"))
     return np.sort(lasts.toArrow()["last"].to_numpy())[:-1]
 
 
