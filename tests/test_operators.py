@@ -10,28 +10,27 @@ from inkplane.operators import detections, graphs, labels, levels, profiles, sea
 from inkplane.sources import images, tables
 
 
-def _walk(size, tile, step):
-    if size <= tile:
-        return [0]
-    out = list(range(0, size - tile, step))
-    return [*out, size - tile]
-
-
-@pytest.mark.parametrize(("tile", "overlap"), [(64, 0.2), (640, 0.2), (10, 0.0)])
-def test_grid_is_that_of_a_walk_and_zones_part_the_sheet(spark, tile, overlap):
-    sizes = [(i, h, w) for i, (h, w) in enumerate([(150, 200), (64, 110), (40, 30), (700, 1300), (65, 64), (1, 1), (640, 641)])]
-    s = spark.createDataFrame(sizes, "sheet_id int, h int, w int")
+@pytest.mark.parametrize(("tile", "overlap"), [(37, 0.2), (90, 0.0), (128, 0.55)])
+def test_tiles_step_along_both_axes_to_the_edge(spark, tile, overlap):
+    rnd = np.random.default_rng(tile)
+    sizes = [(i, int(h), int(w)) for i, (h, w) in enumerate(rnd.integers(1, 5 * tile, (20, 2)))] + [(20, tile, tile + 1), (21, 1, 3 * tile)]
+    sheets = spark.createDataFrame(sizes, "sheet_id int, h int, w int")
     step = tile - int(overlap * tile)
-    got = {}
-    for r in tiles.grid(s, tile, overlap).collect():
-        got.setdefault(r.sheet_id, []).append((r.tile_id, r.x0, r.y0, r.x1, r.y1))
+    got: dict = {}
+    for r in tiles.grid(sheets, tile, overlap).collect():
+        got.setdefault(r.sheet_id, []).append(r)
     for i, h, w in sizes:
-        want = [(x, y, min(x + tile, w), min(y + tile, h)) for y in _walk(h, tile, step) for x in _walk(w, tile, step)]
-        assert sorted(got[i]) == [(k, *t) for k, t in enumerate(want)]
-    z = tiles.zones(tiles.grid(s, tile, overlap), s).groupBy("sheet_id").agg(F.sum((F.col("zx1") - F.col("zx0")) * (F.col("zy1") - F.col("zy0"))).alias("a"))
-    assert {r.sheet_id: r.a for r in z.collect()} == {i: float(h * w) for i, h, w in sizes}
+        own = sorted(got[i], key=lambda r: r.tile_id)
+        assert [r.tile_id for r in own] == list(range(len(own))) and own == sorted(own, key=lambda r: (r.y0, r.x0))
+        for n, lo, hi in ((h, "y0", "y1"), (w, "x0", "x1")):
+            spans = sorted({(r[lo], r[hi]) for r in own})
+            starts = [a for a, _ in spans]
+            assert starts[0] == 0 and spans[-1][1] == n and all(b - a == min(tile, n) for a, b in spans)
+            gaps = np.diff(starts)
+            assert (gaps[:-1] == step).all() and (gaps[-1:] <= step).all() and (gaps > 0).all()
+        assert len(own) == len({r.x0 for r in own}) * len({r.y0 for r in own})
     with pytest.raises(ValueError):
-        tiles.grid(s, 0)
+        tiles.grid(sheets, 0)
 
 
 def test_nms_against_a_loop(spark):
