@@ -10,8 +10,8 @@ longer units (text of thousands of letters without a space, digit or sign) go th
 unit's edges are one row and must fit in memory.
 
 Texts are dealt in chunks; a chunk hands on its distinct units once, packed, and gets their ids back, so no
-row stands for one word of one document. All steps are one plan over one exchange of the texts. Decoding is
-SQL alone.
+row stands for one word of one document. All steps are one plan over one exchange of the texts. decode() is SQL; the
+digests of decoded texts are made where the ids are put together, so that no plan holds the table of pieces for them.
 
 Edge cases: null and empty texts have no pieces; a `▁` in a text decodes as a space; repeated rows give
 repeated rows; null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +19,7 @@ repeated rows; null ids are kept; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -74,6 +75,7 @@ class Vocabulary:
         self.signs: set[str] = {c for p in self.pieces if len(p) > 1 for c in p if c.isspace()}
         self.pattern = self._pattern()
         self._classes: np.ndarray | None = None
+        self._spelled: tuple[np.ndarray, np.ndarray] | None = None
 
     def _pattern(self) -> str:
         """Units: letters or other signs with the marks before them, marks alone, single digits and line ends; as fine as the pieces allow."""
@@ -136,6 +138,32 @@ class Vocabulary:
         return out
 
 
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all pieces as they decode, one after the other, and where each begins (and the last ends)."""
+        if self._spelled is None:
+            parts = [bytes([i - self.byte0]) if self.byte0 <= i < self.byte0 + 256 else t.replace(MARK, " ").encode() for i, t in enumerate(self.texts)]
+            self._spelled = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return self._spelled
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """SHA-256 of the text that each stretch of ids decodes to: bytes of the pieces, the first space dropped."""
+        blob, start = self.spelled()
+        size = np.diff(start)
+        out = []
+        a = 0
+        while a < len(ends) - 1:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 18), "right")) - 1)
+            own = ids[ends[a] : ends[b]]
+            n = size[own]
+            upto = np.cumsum(n)
+            text = blob[np.arange(upto[-1] if len(n) else 0) + np.repeat(start[:-1][own] - (upto - n), n)].tobytes()
+            cuts = np.concatenate([[0], upto])[ends[a : b + 1] - ends[a]].tolist()
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                out.append(hashlib.sha256(text[x + (text[x : x + 1] == b" " and y > x) : y]).hexdigest())
+            a = b
+        return out
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -383,8 +411,8 @@ def squeeze(raw: bytes) -> bytes:
 _LISTS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("packed", pa.binary())])
 
 
-def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and ids of every row, with the columns `keep` of docs."""
+def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
+    """doc_id and ids of every row, with the columns `keep` of docs; with `digest` also decoded_sha256, of the text that the ids decode to."""
     spark = docs.sparkSession
     v = vocabulary(path or default_model())
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
@@ -470,7 +498,8 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ())
         flat = np.concatenate(flat)
         ends = np.concatenate([[0], np.cumsum(n[number])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int32()))
-        return pa.table({"doc_id": t["doc_id"], **{c: t[c] for c in keep}, "ids": lists})
+        out = pa.table({"doc_id": t["doc_id"], **{c: t[c] for c in keep}, "ids": lists})
+        return out.append_column("decoded_sha256", pa.array(sent.value.digests(flat, ends), pa.string())) if digest else out
 
     by_chunk = dealt.groupBy("chunk")
     lists = by_chunk.applyInArrow(hold, "bucket long, chunk long, packed binary")
@@ -479,13 +508,13 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ())
     if v.bpe:
         known = known.unionByName(units.where(F.length("unit") > LONG).mapInArrow(merge, "bucket long, unit string, ids array<int>"))
     replies = lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "bucket long, chunk long, packed binary")
-    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(finish, ", ".join(f"{c} {k}" for c, k in [("doc_id", "long"), *[x for x in d.dtypes if x[0] in keep], ("ids", "array<int>")]))
+    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(finish, ", ".join(f"{c} {k}" for c, k in [("doc_id", "long"), *[x for x in d.dtypes if x[0] in keep], ("ids", "array<int>"), *([("decoded_sha256", "string")] if digest else [])]))
 
 
 def encoded(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_pieces, ids, and the SHA-256 of the text that decoding them gives, with the columns `keep` of docs."""
-    v = vocabulary(path or default_model())
-    return encode(docs, path, keep).select("doc_id", *keep, F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(decode(F.col("ids"), v).cast("binary"), 256).alias("decoded_sha256"))
+    out = encode(docs, path, keep, digest=True)
+    return out.select("doc_id", *keep, F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256")
 
 
 def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

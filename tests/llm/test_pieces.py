@@ -3,6 +3,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkplane.llm import pieces
 
@@ -32,6 +33,14 @@ def test_ids_are_the_librarys_on_odd_rows(documents, spark, library):
     assert pieces.encoded(documents.where("false")).count() == 0
 
 
+def test_decoding_gives_the_text_back(documents):
+    v = pieces.vocabulary(pieces.default_model())
+    rows = pieces.encoded(documents).select("doc_id", "decoded_sha256", pieces.decode(F.col("ids"), v).alias("text")).collect()
+    want = sorted((r.doc_id, (r.text or "").replace("▁", " ")) for r in documents.collect())
+    assert sorted((r.doc_id, r.text) for r in rows) == want
+    assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+
+
 def test_ids_are_the_librarys_on_random_text(spark, library):
     rnd = random.Random(3)
     rows = [(i, "".join(rnd.choices("etaoinshr  ..,'-_\n1é▁²(", k=rnd.randrange(200)))) for i in range(200)]
