@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+
+
 def _along():
     return Window.partitionBy("path").orderBy("ord")
 
@@ -117,9 +120,31 @@ def branch_cuts(branches: DataFrame, ratio: float = 1.3) -> DataFrame:
     return b.where("rn > 0").select("path", "branch", gap.alias("gap"), (gap > math.log(ratio)).alias("cut"))
 
 
+def lower_quartile(values: Column) -> Column:
+    """Lower quartile of an array of doubles as the SQL engine has it: fma(lo, 1 - f, hi * f) between neighbours; null of an empty array.
+
+    Products by a half or a quarter are exact, so one rounding and fma's agree but where f is a quarter: there 3 lo is carried in two parts.
+    """
+    at = (F.size(values) - 1) * F.lit(0.25)
+    f = at - F.floor(at)
+
+    def between(e: Column) -> Column:
+        lo, hi = e["lo"], e["hi"]
+        a, b, c = lo / 2, lo / 4, hi / 4
+        s = a + b
+        t = s + c
+        lost = lambda x, y, r: (x - (r - (r - x))) + (y - (r - x))  # noqa: E731 - what x + y lost when it became r
+        once = F.nanvl(t + (lost(a, b, s) + lost(s, c, t)), s + c)
+        return F.when(f == 0, lo).when(f == 0.25, once).otherwise(lo * (1 - f) + hi * f)
+
+    pair = F.struct(F.get(values, F.floor(at).cast("int")).alias("lo"), F.get(values, F.ceil(at).cast("int")).alias("hi"))
+    return let(pair, between)
+
+
 def direction_scale(profile: DataFrame) -> DataFrame:
     """Half the lower quartile of thickness, rounded half to even, 2 at least."""
-    return profile.groupBy("path").agg(F.greatest(F.lit(2), F.rint(F.percentile("t", F.lit(0.25)) / 2).cast("int")).alias("k"))
+    d = profile.groupBy("path").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    return d.select("path", F.greatest(F.lit(2), F.rint(lower_quartile(F.col("ts")) / 2).cast("int")).alias("k"))
 
 
 def geometric_level(profile: DataFrame) -> DataFrame:
