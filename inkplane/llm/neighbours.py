@@ -45,8 +45,8 @@ def vectors(rows: DataFrame) -> DataFrame:
     return d.where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
 
 
-def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (vec_id, embedding, times) packed in blocks of one length of vectors, in order of vec_id: ids and times as int64, vectors as float64."""
+def blocks(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Rows (vec_id, embedding, times) packed in blocks of one length of vectors, in order of vec_id: ids and times as int64, vectors as float64. And how many blocks a length has at most."""
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -60,7 +60,7 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
     number = {r["dim"]: max(1, -(-r["count"] // most)) for r in sized.groupBy("dim").count().collect()}  # one row a length of vectors
     of = F.create_map(*[F.lit(x) for d, n in number.items() for x in (d, n)])[F.col("dim")] if number else F.lit(1)
     dealt = sized.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), of))
-    return dealt.groupBy("dim", "block").applyInArrow(pack, BLOCK_SCHEMA)
+    return dealt.groupBy("dim", "block").applyInArrow(pack, BLOCK_SCHEMA), max(number.values(), default=1)
 
 
 @cache
@@ -126,10 +126,11 @@ def search(rows: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
     spark = rows.sparkSession
     every = common.cut(vectors(rows).groupBy("vec_id", "embedding").agg(F.count("*").alias("times")))
     asked = every.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.lit(1).cast("long").alias("times"))
-    salts = common.partitions(spark)
-    asked = blocks(asked, QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dealt = blocks(every, BLOCK).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    met = dealt.join(asked, ["salt", "dim"])  # a block of rows meets one block of queries after the other
+    dealt, most = blocks(every, BLOCK)
+    salts = min(common.partitions(spark), most)
+    asked = blocks(asked, QUERIES)[0].select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = dealt.withColumn("salt", F.pmod(F.col("block"), F.lit(salts)).cast("int"))
+    met = dealt.join(asked.hint("merge"), ["salt", "dim"])  # a block of rows meets one block of queries after the other; Spark knows the rows' size, not that of their copies
 
     def run(batches):
         built: tuple = (None, None)

@@ -4,7 +4,11 @@ import datetime
 
 import duckdb
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from inkplane import plans
+from inkplane.llm import neighbours
 from inkplane.operators import profiles
 
 
@@ -29,3 +33,15 @@ def test_quartiles_beside_an_odd_number(spark, tmp_path):
 def test_quartile_of_nothing_and_of_one(spark):
     d = spark.createDataFrame([(0, None), (1, 7.0)], "path int, t double")
     assert {r.path: r.k for r in profiles.direction_scale(d).collect()} == {0: 2, 1: 4}
+
+
+def _plan(df):
+    """The plan that ran, as it was changed at run time."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_queries_are_not_broadcast(spark):
+    x = np.random.default_rng(3).standard_normal((300, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert "Broadcast" not in _plan(neighbours.search(rows, F.col("vec_id") % 100 == 0))
