@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+
 
 def _starts(size: Column, tile: int, overlap: float) -> Column:
     """Where tiles start along an axis: a step apart, the last one flush with the edge."""
@@ -22,20 +24,26 @@ def grid(sheets: DataFrame, tile: int = 640, overlap: float = 0.2) -> DataFrame:
     return d.select("sheet_id", (F.col("row") * F.col("cols") + F.col("col")).alias("tile_id"), "x0", "y0", F.least(F.col("x0") + tile, "w").alias("x1"), F.least(F.col("y0") + tile, "h").alias("y1"))
 
 
-def _cuts(spans: DataFrame, lo: str, hi: str, size: str) -> DataFrame:
-    """Of the spans of an axis from where to where each one rules: cut midway between the end of one and the start of the next."""
-    w = Window.partitionBy("sheet_id").orderBy(lo)
-    before = (F.lag(hi).over(w) + F.col(lo)) / 2
-    after = (F.col(hi) + F.lead(lo).over(w)) / 2
-    return spans.select("sheet_id", lo, F.coalesce(before, F.lit(0.0)).alias("z0"), F.coalesce(after, F.col(size).cast("double")).alias("z1"))
+def _cuts(tiles: Column, lo: str, hi: str, size: Column) -> Column:
+    """Of the tiles of a sheet the spans of an axis, each from where to where it rules: cut midway between the end of one and the start of the next."""
+    spans = F.array_sort(F.array_distinct(F.transform(tiles, lambda t: F.struct(t[lo].alias("lo"), t[hi].alias("hi")))))
+
+    def ruled(of: Column) -> Column:
+        before = lambda s, i: F.coalesce((F.get(of, i - 1)["hi"] + s["lo"]) / 2, F.lit(0.0))
+        after = lambda s, i: F.coalesce((s["hi"] + F.get(of, i + 1)["lo"]) / 2, size.cast("double"))
+        return F.transform(of, lambda s, i: F.struct(s["lo"].alias("lo"), before(s, i).alias("z0"), after(s, i).alias("z1")))
+
+    return let(spans, ruled)
 
 
 def zones(tiles: DataFrame, sheets: DataFrame) -> DataFrame:
-    """tiles with zx0, zy0, zx1, zy1: half-open zones that part each sheet."""
-    sized = tiles.join(sheets.select("sheet_id", "h", "w"), "sheet_id")
-    xs = _cuts(sized.select("sheet_id", "x0", "x1", "w").distinct(), "x0", "x1", "w").withColumnsRenamed({"z0": "zx0", "z1": "zx1"})
-    ys = _cuts(sized.select("sheet_id", "y0", "y1", "h").distinct(), "y0", "y1", "h").withColumnsRenamed({"z0": "zy0", "z1": "zy1"})
-    return tiles.join(xs, ["sheet_id", "x0"]).join(ys, ["sheet_id", "y0"])
+    """tiles with zx0, zy0, zx1, zy1: half-open zones that part each sheet. A sheet's tiles meet in one row; sheets are merged, as Spark takes them for small."""
+    rest = [c for c in tiles.columns if c != "sheet_id"]
+    d = tiles.groupBy("sheet_id").agg(F.collect_list(F.struct(*rest)).alias("tiles")).join(sheets.select("sheet_id", "h", "w").distinct().hint("merge"), "sheet_id")
+    d = d.select("sheet_id", "tiles", _cuts(F.col("tiles"), "x0", "x1", F.col("w")).alias("xs"), _cuts(F.col("tiles"), "y0", "y1", F.col("h")).alias("ys"))
+    own = lambda spans, lo: F.get(F.filter(spans, lambda s: s["lo"] == F.col(f"t.{lo}")), 0)
+    d = d.select("sheet_id", F.explode("tiles").alias("t"), "xs", "ys").select("sheet_id", "t", own("xs", "x0").alias("x"), own("ys", "y0").alias("y"))
+    return d.select("sheet_id", "t.*", F.col("x.z0").alias("zx0"), F.col("x.z1").alias("zx1"), F.col("y.z0").alias("zy0"), F.col("y.z1").alias("zy1"))
 
 
 def scale_of(t: Column, target: float, tol: float, max_scale: float) -> Column:

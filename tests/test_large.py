@@ -45,3 +45,13 @@ def test_blocks_of_queries_are_not_broadcast(spark):
     x = np.random.default_rng(3).standard_normal((300, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert "Broadcast" not in _plan(neighbours.search(rows, F.col("vec_id") % 100 == 0))
+
+
+def _parts(spark, tmp_path):
+    """Parts in a folder, as the queries on sheets read them."""
+    spark.range(40).selectExpr("id as p_partkey", "cast(1 + id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_zones_are_not_broadcast(spark, tmp_path):
+    assert "Broadcast" not in _plan(plans.queries()["tile_zones"](spark, _parts(spark, tmp_path)))
