@@ -37,7 +37,7 @@ def tile_zones(spark, d):
 @query(f"with {_ZONES} select sheet_id, sum((zx1 - zx0) * (zy1 - zy0))::double as zone_area, max(h * w)::double as area from tile t join zx using (sheet_id, x0) join zy using (sheet_id, y0) group by sheet_id")
 def zone_partition_check(spark, d):
     big = _big(spark, d)
-    z = tiles.zones(tiles.grid(big), big).join(big, "sheet_id")
+    z = tiles.zones(tiles.grid(big), big).join(big.hint("merge"), "sheet_id")
     return z.groupBy("sheet_id").agg(F.sum((F.col("zx1") - F.col("zx0")) * (F.col("zy1") - F.col("zy0"))).alias("zone_area"), F.max(F.col("h") * F.col("w")).cast("double").alias("area"))
 
 

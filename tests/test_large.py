@@ -55,3 +55,7 @@ def _parts(spark, tmp_path):
 
 def test_zones_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in _plan(plans.queries()["tile_zones"](spark, _parts(spark, tmp_path)))
+
+
+def test_areas_of_zones_are_not_broadcast(spark, tmp_path):
+    assert "Broadcast" not in _plan(plans.queries()["zone_partition_check"](spark, _parts(spark, tmp_path)))
