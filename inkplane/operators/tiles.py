@@ -55,13 +55,15 @@ def scale_of(t: Column, target: float, tol: float, max_scale: float) -> Column:
 def scale_lookup(pixels: DataFrame, target: DataFrame) -> DataFrame:
     """A mask on another scale: each target pixel takes the pixel under it by floor, the last row and column at the edge.
 
+    Each pixel gives the target pixels it lies under, from ceil(y th / h) on; so one row a sheet is joined, and no grid of target pixels is.
     target has sheet_id, h, w (of the pixels), th, tw (wanted).
     """
-    g = target.select("sheet_id", "h", "w", "th", "tw", F.explode(F.sequence(F.lit(0), F.col("th") - 1)).alias("ty"))
-    g = g.select("*", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)).alias("tx"))
-    y = F.least(F.floor(F.col("ty") * F.col("h") / F.col("th")), F.col("h") - 1).cast("int")
-    x = F.least(F.floor(F.col("tx") * F.col("w") / F.col("tw")), F.col("w") - 1).cast("int")
-    return g.select("sheet_id", "ty", "tx", y.alias("y"), x.alias("x")).join(pixels, ["sheet_id", "y", "x"]).select("sheet_id", "ty", "tx", "v")
+    met = pixels.join(target.select("sheet_id", "h", "w", "th", "tw").hint("merge"), "sheet_id").where("y >= 0 and y < h and x >= 0 and x < w")
+    first = lambda at, size, wanted: F.expr(f"cast((({at}) * cast({wanted} as long) + {size} - 1) div {size} as int)")
+    for at, size, wanted, to in (("y", "h", "th", "ty"), ("x", "w", "tw", "tx")):
+        a, b = first(at, size, wanted), first(f"{at} + 1", size, wanted) - 1
+        met = met.withColumns({"a": a, "b": b}).where("a <= b").withColumn(to, F.explode(F.sequence("a", "b")))
+    return met.select("sheet_id", "ty", "tx", "v")
 
 
 def quarter_turns(pixels: DataFrame, n: int) -> DataFrame:

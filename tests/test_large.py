@@ -59,3 +59,10 @@ def test_zones_are_not_broadcast(spark, tmp_path):
 
 def test_areas_of_zones_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in _plan(plans.queries()["zone_partition_check"](spark, _parts(spark, tmp_path)))
+
+
+def test_target_pixels_are_not_broadcast(spark, tmp_path):
+    d = spark.range(30).selectExpr("id as vec_id", "transform(sequence(0, 63), i -> cast(i * id % 17 / 34 - 0.25 as float)) as embedding")
+    got, want = _against_sql(spark, tmp_path, "scale_lookup", embeddings=d)
+    assert got == want
+    assert "Broadcast" not in _plan(plans.queries()["scale_lookup"](spark, str(tmp_path)))
