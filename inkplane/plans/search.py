@@ -35,7 +35,7 @@ def sim_mean_embedding(spark, d):
 
 @query(f"select name, score from ({_BEST}) order by score desc, name limit 5")
 def sim_topk(spark, d):
-    return _rounded(search.similar(views.sketch(spark, d), "s0"))
+    return _rounded(search.similar(views.sketch(spark, d), "s0", digits=6))
 
 
 @query(f"with {views.SKETCH}, n as (select name, count(*) as n from sketch group by 1) select count(*) as sketches, sum(n)::bigint as views, min(n) as least, max(n) as most from n")

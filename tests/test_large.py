@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkplane import plans
 from inkplane.llm import neighbours
-from inkplane.operators import profiles
+from inkplane.operators import profiles, search
 
 
 def _against_sql(spark, folder, name, **tables):
@@ -66,3 +66,20 @@ def test_target_pixels_are_not_broadcast(spark, tmp_path):
     got, want = _against_sql(spark, tmp_path, "scale_lookup", embeddings=d)
     assert got == want
     assert "Broadcast" not in _plan(plans.queries()["scale_lookup"](spark, str(tmp_path)))
+
+
+def test_pairs_of_views_are_products_of_blocks(spark):
+    x = np.random.default_rng(5).standard_normal((90, 6))
+    d = spark.createDataFrame([(f"s{i % 3}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "name string, vec array<double>")
+    got = search.best_pair(d, "s0")
+    assert "MapInArrow" in (plan := _plan(got)) and "Broadcast" not in plan
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r["name"]: r.score and round(r.score, 9) for r in got.collect()} == {f"s{k}": round(float((u[k::3] @ u[::3].T).max()), 9) for k in range(3)} | {"none": None}
+    assert search.best_pair(d, "nobody").count() == 0
+
+
+def test_equal_scores_of_the_sql_go_by_name(spark, tmp_path):
+    v = [float(1 + i) for i in range(5)]
+    d = spark.createDataFrame([(i, [v[0] + 1e-5 * (6 - i), *v[1:]], (7 - i) % 7) for i in range(7)], "vec_id long, embedding array<double>, label int")  # cosines that are 1 to 6 digits
+    got, want = _against_sql(spark, tmp_path, "sim_topk", embeddings=d)
+    assert got == want and len(got) == 5
