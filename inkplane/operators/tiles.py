@@ -88,6 +88,6 @@ def crop_geometry(views: DataFrame, size: int) -> DataFrame:
 
 
 def order_views(views: DataFrame) -> DataFrame:
-    """views with their number k in the sheet: large to small, then from the top, then from the left."""
+    """views with their number k in the sheet: large to small, then from the top, then from the left, then by seg_id where there is one."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return views.withColumn("k", F.row_number().over(Window.partitionBy("sheet_id").orderBy(area.desc(), "y0", "x0")) - 1)
+    return views.withColumn("k", F.row_number().over(Window.partitionBy("sheet_id").orderBy(area.desc(), "y0", "x0", *(c for c in views.columns if c == "seg_id"))) - 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkplane import plans
 from inkplane.llm import neighbours
-from inkplane.operators import profiles, search
+from inkplane.operators import profiles, search, tiles
 
 
 def _against_sql(spark, folder, name, **tables):
@@ -83,3 +83,8 @@ def test_equal_scores_of_the_sql_go_by_name(spark, tmp_path):
     d = spark.createDataFrame([(i, [v[0] + 1e-5 * (6 - i), *v[1:]], (7 - i) % 7) for i in range(7)], "vec_id long, embedding array<double>, label int")  # cosines that are 1 to 6 digits
     got, want = _against_sql(spark, tmp_path, "sim_topk", embeddings=d)
     assert got == want and len(got) == 5
+
+
+def test_views_of_one_size_and_place_go_by_number(spark):
+    d = spark.createDataFrame([(0, i, 5, 5, 9, 9) for i in (3, 1, 4, 2, 0)], "sheet_id int, seg_id int, x0 int, y0 int, x1 int, y1 int")
+    assert all(r.k == r.seg_id for r in tiles.order_views(d).collect())
